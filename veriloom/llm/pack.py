@@ -2,12 +2,14 @@
 
 Open bins are ordered by the room left in them. Each carries a bitmap of the sources and one of the duplicate clusters
 of its items. An item, largest first, asks for the tightest bin that holds it; if that bin's bitmaps conflict with the
-item, the search goes on to its successor, until the tightest compatible bin is found or a new bin is opened. Two
-items conflict if they are copies of one text, or from one source.
+item, the search goes on to its successor, until the tightest compatible bin is found. Two items conflict if they are
+copies of one text, or from one source.
 
-No constraint may cost more room than it must: a source or cluster with more items than there can be bins has to meet
-itself somewhere. So a group of k items, in a shard that needs at least b bins, may occur ceil(k / b) times per bin;
-it has that many bits, and its items take them in turn.
+No constraint may cost more room than it must. A source or cluster with more items than there can be bins has to meet
+itself somewhere: a group of k items, in a shard that needs at least b bins, may occur ceil(k / b) times per bin; it
+has that many bits, and its items take them in turn. And before a new bin is opened for want of a compatible one, the
+tightest bin that conflicts by source only is taken (strict=True opens the bin instead). Copies never share a bin
+beyond the number above.
 
 Items larger than the capacity are cut: full windows, and a rest that is packed like any item. No other item is cut.
 Items of no size (null and empty texts) take no room and get no window. At scale the items are hashed into shards of
@@ -27,9 +29,10 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Bounds:
-    """shard_items: about how many items are packed together."""
+    """shard_items: about how many items are packed together; strict: never two of a source where it can be helped."""
 
     shard_items: int = 10_000
+    strict: bool = False
 
 
 def _bits(groups: list, b: int) -> list[int]:
@@ -53,7 +56,7 @@ def _bits(groups: list, b: int) -> list[int]:
     return out
 
 
-def best_fit(items: Iterable[tuple[int, object, object]], capacity: int) -> list[int]:
+def best_fit(items: Iterable[tuple[int, object, object]], capacity: int, strict: bool = False) -> list[int]:
     """The bin of each item (size, source, cluster); sizes are from 1 to the capacity, largest first."""
     items = list(items)
     least = max(1, -(-sum(s for s, _, _ in items) // capacity))
@@ -63,20 +66,24 @@ def best_fit(items: Iterable[tuple[int, object, object]], capacity: int) -> list
     held_sources: list[int] = []
     held_clusters: list[int] = []
     out = []
-    for (size, _, _), s, c in zip(items, sources, clusters):
-        chosen, room = -1, size
-        rest = filled >> size
+
+    def tightest(size: int, s: int, c: int) -> tuple[int, int]:
+        """(bin, its room): the first bin from `size` on, by room, whose bitmaps don't meet s and c; -1 for none."""
+        room, rest = size, filled >> size
         while rest:
             step = (rest & -rest).bit_length() - 1
             room += step
             for b in by_room[room]:
                 if not (held_sources[b] & s or held_clusters[b] & c):
-                    chosen = b
-                    break
-            if chosen >= 0:
-                break
+                    return b, room
             rest >>= step + 1
             room += 1
+        return -1, 0
+
+    for (size, _, _), s, c in zip(items, sources, clusters):
+        chosen, room = tightest(size, s, c)
+        if chosen < 0 and s and not strict:
+            chosen, room = tightest(size, 0, c)
         if chosen < 0:
             chosen, room = len(held_sources), capacity
             held_sources.append(0)
@@ -108,8 +115,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, source: str | Non
     rows = items.select(
         F.col(key).alias("key"),
         n.alias("size"),
-        (F.xxhash64(F.col(source)) if source else F.lit(None).cast("long")).alias("source") if not source else F.when(F.col(source).isNotNull(), F.xxhash64(source)).alias("source"),
-        (F.when(F.col(cluster).isNotNull(), F.xxhash64(cluster)) if cluster else F.lit(None).cast("long")).alias("cluster"),
+        *((F.when(F.col(c).isNotNull(), F.xxhash64(c)) if c else F.lit(None).cast("long")).alias(n) for c, n in ((source, "source"), (cluster, "cluster"))),
     )
     shards = max(1, round(rows.filter("size > 0").count() / bounds.shard_items))
     whole = rows.filter(F.col("size") >= capacity).select("key", F.posexplode(F.sequence(F.lit(0), (F.col("size") / capacity).cast("int") - 1)).alias("piece_no", "_")).select(
@@ -122,7 +128,7 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, source: str | Non
     def run(key_: tuple, b: pd.DataFrame) -> pd.DataFrame:
         b = b.sort_values(["n", "cluster", "key", "piece_no"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         group = lambda c: [None if pd.isna(x) else x for x in b[c]]
-        bins = best_fit(zip(b["n"].tolist(), group("source"), group("cluster")), capacity)
+        bins = best_fit(zip(b["n"].tolist(), group("source"), group("cluster")), capacity, bounds.strict)
         b["window_id"] = [f"s{key_[0]}-{x}" for x in bins]
         b["position"] = b.groupby("window_id").cumcount().astype("int32")
         return b[["key", "piece_no", "start", "n", "window_id", "position"]]
