@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriloom.session import bounded, cut
+
 FILE = ["feed_id", "file_no"]
 
 
@@ -59,34 +61,42 @@ def _presence(order: DataFrame, schema: DataFrame) -> DataFrame:
 
 
 def changes(raw: DataFrame, key: str = "rec_key") -> DataFrame:
-    """(feed_id, file_no, source_file, change_kind, field_name, prior_name), one row per change."""
-    flat, order = fields(raw, key), file_order(raw)
-    beside = _presence(order, file_schemas(flat))
+    """(feed_id, file_no, source_file, change_kind, field_name, prior_name), one row per change.
+
+    The schemas come from one pass over the records and are small. Only files that both lose and gain fields, and the
+    files before them, are read again for contents, and only for those fields.
+    """
+    order = file_order(raw)
+    beside = cut(_presence(order, file_schemas(fields(raw, key))))
     gone, new = beside.filter("kinds is null").select(*FILE, "name"), beside.filter("old_kinds is null").select(*FILE, "name")
     typed = beside.filter("size(kinds) > 0 and size(old_kinds) > 0 and kinds <> old_kinds")
 
-    # Contents of the fields gone and new in the records that both files hold.
-    pair = order.filter("prior_no is not null").select(*FILE, "prior_no")
-    recs = flat.filter("rec is not null").select(*FILE, "rec").distinct()
-    shared = recs.join(pair, FILE).join(recs.withColumnRenamed("file_no", "prior_no"), ["feed_id", "prior_no", "rec"]).select("feed_id", "file_no", "prior_no", "rec")
-    told = flat.filter("content is not null").select(*FILE, "rec", "name", "content").distinct()
-    was = told.withColumnRenamed("file_no", "prior_no").join(shared, ["feed_id", "prior_no", "rec"]).join(gone, [*FILE, "name"]).select(*FILE, "rec", F.col("name").alias("prior_name"), "content")
-    now = told.join(shared, [*FILE, "rec"]).join(new, [*FILE, "name"]).select(*FILE, "rec", "name", "content")
-    same = was.join(now, [*FILE, "rec", "content"]).groupBy(*FILE, "prior_name", "name").agg(F.count(F.lit(1)).alias("n"))
+    both = gone.select(*FILE).distinct().join(new.select(*FILE).distinct(), FILE)
+    pair = order.select(*FILE, "prior_no").join(both, FILE)
+    here = fields(raw.join(pair.select(*FILE), FILE, "left_semi"), key).filter("rec is not null")
+    before = fields(raw.join(pair.select("feed_id", F.col("prior_no").alias("file_no")), FILE, "left_semi"), key).filter("rec is not null")
+    before = before.withColumnRenamed("file_no", "prior_no").join(pair, ["feed_id", "prior_no"]).drop("prior_no")
+    recs = [*FILE, "rec"]
+    now = here.filter("content is not null").join(new, [*FILE, "name"], "left_semi").select(*recs, "name", "content").distinct()
+    was = before.filter("content is not null").join(gone, [*FILE, "name"], "left_semi").select(*recs, F.col("name").alias("prior_name"), "content").distinct()
+    # Only records that both files hold tell.
+    now = now.join(before.select(*recs).distinct(), recs, "left_semi")
+    was = was.join(here.select(*recs).distinct(), recs, "left_semi")
+    now, was = cut(now), cut(was)
+    same = was.join(now, [*recs, "content"]).groupBy(*FILE, "prior_name", "name").agg(F.count(F.lit(1)).alias("n"))
     n_was = was.groupBy(*FILE, "prior_name").agg(F.count(F.lit(1)).alias("n_was"))
     n_now = now.groupBy(*FILE, "name").agg(F.count(F.lit(1)).alias("n_now"))
     agreed = same.join(n_was, [*FILE, "prior_name"]).join(n_now, [*FILE, "name"]).filter("n = n_was and n = n_now")
     # Should several fields agree, the smallest names pair up, each used once.
     by_old, by_new = Window.partitionBy(*FILE, "prior_name").orderBy("name"), Window.partitionBy(*FILE, "name").orderBy("prior_name")
-    renamed = agreed.withColumn("a", F.row_number().over(by_old)).withColumn("b", F.row_number().over(by_new)).filter("a = b").select(*FILE, "name", "prior_name")
+    renamed = cut(agreed.withColumn("a", F.row_number().over(by_old)).withColumn("b", F.row_number().over(by_new)).filter("a = b").select(*FILE, "name", "prior_name"))
 
     kind = lambda df, k, prior: df.select(*FILE, F.lit(k).alias("change_kind"), F.col("name").alias("field_name"), prior.alias("prior_name"))
     none = F.lit("")
-    once = renamed.select(*FILE, F.explode(F.array(F.struct(F.col("name"), F.lit("new").alias("side")), F.struct(F.col("prior_name").alias("name"), F.lit("old").alias("side")))).alias("x")).select(*FILE, "x.name", "x.side")
     out = (
         kind(renamed, "renamed", F.col("prior_name"))
-        .unionByName(kind(gone.join(once.filter("side = 'old'").drop("side"), [*FILE, "name"], "left_anti"), "removed", none))
-        .unionByName(kind(new.join(once.filter("side = 'new'").drop("side"), [*FILE, "name"], "left_anti"), "added", none))
+        .unionByName(kind(gone.join(renamed.select(*FILE, F.col("prior_name").alias("name")), [*FILE, "name"], "left_anti"), "removed", none))
+        .unionByName(kind(new.join(renamed.select(*FILE, "name"), [*FILE, "name"], "left_anti"), "added", none))
         .unionByName(kind(typed, "type_changed", none))
     )
     return out.join(order.select(*FILE, "source_file"), FILE).select(*FILE, "source_file", "change_kind", "field_name", "prior_name")
@@ -120,10 +130,10 @@ def migrations(raw: DataFrame, key: str = "rec_key") -> DataFrame:
     return changes(raw, key).select(*FILE, "source_file", F.row_number().over(w).alias("step_no"), step.alias("step"), "field_name", "prior_name")
 
 
-def name_classes(edges: list[tuple[str, str]], wanted: list[str]) -> dict[str, str]:
+def name_classes(edges: list[tuple[str, str]], wanted: list[str], names: list[str] = ()) -> dict[str, str]:
     """Field name -> the name it has in the consistent table, following chains of renames in either direction.
 
-    Names that a chain of renames joins form one class. A class takes the first of `wanted` that it holds, else its
+    Names that a chain of renames joins form one class, as do names that differ in case and separators only. A class takes the first of `wanted` that it holds, else its
     smallest name. The edges are distinct pairs of field names, so their number depends on the vocabulary of the
     schemas and not on the rows.
     """
@@ -138,6 +148,10 @@ def name_classes(edges: list[tuple[str, str]], wanted: list[str]) -> dict[str, s
 
     for a, b in edges:
         parent[root(a)] = root(b)
+    plain_names: dict[str, str] = {}
+    for x in sorted({*names, *wanted, *(n for e in edges for n in e)}):
+        k = "".join(c for c in x.lower() if c.isalnum())
+        parent[root(x)] = root(plain_names.setdefault(k, x))
     groups: dict[str, list[str]] = {}
     for x in list(parent):
         groups.setdefault(root(x), []).append(x)
@@ -165,9 +179,13 @@ def consistent(raw: DataFrame, wanted: list[str], key: str = "rec_key", most_nam
     edges = changes(raw, key).filter("change_kind = 'renamed'").select("prior_name", "field_name").distinct().limit(most_names + 1).collect()
     if len(edges) > most_names:
         raise ValueError(f"more than {most_names} distinct renames: the schemas don't describe one kind of record")
-    classes = name_classes([tuple(e) for e in edges], wanted)
+    flat = fields(raw, key).filter(F.col("name") != key)
+    names = bounded(flat.select("name").distinct(), most_names)
+    if names is None:
+        raise ValueError(f"more than {most_names} distinct field names: the payloads don't describe one kind of record")
+    classes = {a: b for a, b in name_classes([tuple(e) for e in edges], wanted, [r[0] for r in names]).items() if a != b}
     name = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in classes.items() for x in kv)), F.col("name")), F.col("name")) if classes else F.col("name")
-    flat = fields(raw, key).filter(F.col("name") != key).withColumn("to", name)
+    flat = flat.withColumn("to", name)
     cell = flat.filter("content is not null").groupBy(*FILE, "rec", "to").agg(F.max(plain(F.col("kind"), F.col("content"))).alias("text"))
     # Records that hold nothing but nulls keep their row.
     rows = flat.select(*FILE, "rec").distinct()
