@@ -28,7 +28,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.session import bounded
+from veriloom.session import bounded, cut
 
 # Words for powers of ten, longest first within a language.
 POWERS = {
@@ -192,20 +192,13 @@ class UnitModel:
         # A bounded sample, the same one in every run: the labelled rows with the smallest hashes.
         known = rows.filter("_field is not null and _value is not null").withColumn("_h", F.xxhash64(F.lit(b.seed), key))
         wanted = ["_h", "_value", "_field", *(c for c in _TEXTS if c in rows.columns)]
-        sample = known.select(*wanted).orderBy("_h").limit(b.sample).collect()
-        if len(sample) < 40:
-            return self
-        spark = rows.sparkSession
-        local = spark.createDataFrame(sample, known.select(*wanted).schema).withColumn("_name", self._label())
-        count: dict[str, int] = {}
-        for r in sample:
-            name = f"{r['_field']['family']}:{r['_field']['power']}"
-            count[name] = count.get(name, 0) + 1
-        self.labels = sorted(count)
-        if len(self.labels) < 2:
+        local = cut(known.select(*wanted).orderBy("_h").limit(b.sample).withColumn("_name", self._label()))
+        counts = local.groupBy("_name").count().orderBy("_name").collect()
+        self.labels = [r["_name"] for r in counts]
+        if len(self.labels) < 2 or sum(r["count"] for r in counts) < 40:
             return self
         index = F.array_position(F.array(*map(F.lit, self.labels)), F.col("_name")) - 1
-        x = self._features(local).withColumn("y", index.cast("double")).withColumn("held", F.pmod("_h", F.lit(4)) == 0).select("x", "y", "held").cache()
+        x = self._features(local).withColumn("y", index.cast("double")).withColumn("held", F.pmod("_h", F.lit(4)) == 0).select("x", "y", "held").repartition(4).cache()
         self.forest = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=b.trees, maxDepth=b.depth, seed=b.seed, featureSubsetStrategy="onethird").fit(x.filter(~F.col("held")))
         held = self._vote(x.filter("held")).withColumn("right", (F.col("vote") == F.col("y")).cast("double"))
         self.iso = IsotonicRegression(featuresCol="score", labelCol="right").fit(held.select("score", "right"))
