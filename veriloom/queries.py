@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriloom import catalog
 from veriloom.operators import drift, units
 from veriloom.operators import references as refs
 from veriloom.session import table
@@ -13,6 +14,8 @@ REGION_COLUMNS = ["row_id", "release_id", "period_start", "period_end", "period_
 LIFE_COLUMNS = ["row_id", "release_id", "period_start", "period_end", "period_basis", "entity_code", "entity_name", "entity_type", "metric_code", "metric_name", "metric_name_raw", "parent_metric_code", "product_line", "product_line_name", "product_line_raw", "value", "value_status", "unit", "scope_version", "accounting_basis_version", "source_cell", "formula_raw", "number_format", "footnotes", "quality_flags"]
 
 
+SQL: dict[str, str] = {}
+
 # Problem 4: quantities recorded in different units
 
 
@@ -82,9 +85,12 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return refs.orphan_counts(*_references(spark, d))
 
 
+PROBLEMS = (p4_found, p4_common_values, p5_found, p5_migrations, p5_schema_versions, p5_region_table, p5_life_table, p6_found, p6_counts)
+
+
 def queries():
-    return {f.__name__: f for f in (p4_found, p4_common_values, p5_found, p5_migrations, p5_schema_versions, p5_region_table, p5_life_table, p6_found, p6_counts)}
+    return {**catalog.QUERIES, **{f.__name__: f for f in PROBLEMS}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**catalog.SQL, **SQL}
