@@ -24,6 +24,7 @@ with the same result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -54,25 +55,26 @@ class Bounds:
     most: int = 2_000_000
 
 
-_TOKEN = regex.compile(r"([\p{Han}\p{Hiragana}\p{Katakana}]|[^\W\d_\p{Han}\p{Hiragana}\p{Katakana}]+|\d+)([\W_]*)")
+_SINGLES = "㐀-䶿一-鿿豈-﫿぀-ヿ\U00020000-\U0003ffff"
+_TOKEN = re.compile(rf"([{_SINGLES}]+|[^\W\d_{_SINGLES}]+|\d+)([\W_]*)")
 _HUMP = regex.compile(r"(?<=\p{Ll})(?=\p{Lu})")
-_SINGLE = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_SINGLE = re.compile(f"[{_SINGLES}]")
 _NUMBER = 0
-_KNOWN: dict[str, list[tuple[int, int]]] = {}
+_KNOWN: dict[str, tuple[list[int], list[int]]] = {}
 
 
 def _code(word: str) -> int:
     return (int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") >> 2) | (1 << 61)
 
 
-def _parts(word: str) -> list[tuple[int, int]]:
-    """(code, length) of the words in a run; Han and Kana have the negative of their code point, numbers 0."""
+def _parts(word: str) -> tuple[list[int], list[int]]:
+    """(codes, lengths) of the words in a run; Han and Kana have the negative of their code point, numbers 0."""
     if word[0].isdigit():
-        return [(_NUMBER, len(word))]
-    if len(word) == 1 and _SINGLE.match(word):
-        return [(-ord(word), 1)]
+        return [_NUMBER], [len(word)]
+    if _SINGLE.match(word):
+        return [-ord(c) for c in word], [1] * len(word)
     pieces = _HUMP.split(word) if len(word) > 3 and not word.islower() and not word.isupper() else [word]
-    return [(_code(p.lower()), len(p)) for p in pieces]
+    return [_code(p.lower()) for p in pieces], [len(p) for p in pieces]
 
 
 def tokenise(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -82,12 +84,13 @@ def tokenise(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for word, gap in _TOKEN.findall(text or ""):
         parts = _KNOWN.get(word)
         if parts is None:
-            if len(_KNOWN) > 1_000_000:
-                _KNOWN.clear()
-            parts = _KNOWN[word] = _parts(word)
-        for c, n in parts:
-            codes.append(c)
-            lengths.append(n)
+            parts = _parts(word)
+            if len(word) < 24:
+                if len(_KNOWN) > 400_000:
+                    _KNOWN.clear()
+                _KNOWN[word] = parts
+        codes += parts[0]
+        lengths += parts[1]
         lengths[-1] += len(gap)
     return np.array(codes, np.int64), np.array(lengths, np.int64)
 
