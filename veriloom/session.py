@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +31,29 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they can import it wherever they run."""
+    sc = spark.sparkContext
+    if getattr(sc, "_veriloom_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    # The driver serves the archive to the executors from here, as long as it runs; executors never see this folder.
+    folder = tempfile.mkdtemp(prefix="veriloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = os.path.join(folder, "veriloom_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, names in os.walk(here):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    path = os.path.join(root, n)
+                    z.write(path, os.path.join("veriloom", os.path.relpath(path, here)))
+    sc.addPyFile(archive)
+    sc._veriloom_shipped = True
+
+
 def table(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
     """A parquet table of a data folder, pruned to the columns named."""
+    ship(spark)
     df = spark.read.parquet(f"{root}/{name}.parquet")
     return df.select(*columns) if columns else df
 
