@@ -47,7 +47,7 @@ class Bounds:
     excess: float = 0.56
     salad_coherence: float = 0.5
     salad_excess: float = 0.55
-    share: float = 0.35
+    share: float = 0.28
     window: int = 17
     half: float = 0.5
     rounds: int = 2
