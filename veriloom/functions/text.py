@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 #: One token: a Han character, a Latin run, a number, or any other visible character.
 TOKEN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]|[A-Za-z]+|[0-9]+(?:\.[0-9]+)?|[^\s]"
@@ -14,13 +15,13 @@ TOKEN = r"[\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}]|[A-Za-z]+|[0-9]+(?:\.[0-9]+)?|[^\
 CLAUSE = r"^(第[一二三四五六七八九十百千万零〇两0-9]+条|[一二三四五六七八九十]+、)"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; the JVM has no built-in for it."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def substring_coverage(target: pd.Series, source: pd.Series) -> pd.Series:
     """The longest common substring over the target's length; 1 if contained, null for null or empty targets."""
 

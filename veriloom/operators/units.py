@@ -221,11 +221,16 @@ class UnitModel:
         return out.join(names, "vote", "left").select(*rows.columns, "_unit", "_chance")
 
 
+_RESULTS = {"value_number", "unit_family", "unit_power", "unit_source", "unit_chance", "agrees", "common_value", "needs_review"}
+
+
 def convert(facts: DataFrame, key: str = "fact_id", bounds: Bounds = Bounds(), model: UnitModel | None = None) -> DataFrame:
     """facts with value_number, unit_family, unit_power, unit_source, unit_chance, agrees, common_value, needs_review.
 
     Rows whose unit field is null or unknown pass through the ensemble; unit_source tells which evidence decided.
+    Columns of facts that have names of the results, or that start with _ or x_, are left out.
     """
+    facts = facts.select(*(c for c in facts.columns if c not in _RESULTS and not c.startswith(("_", "x_"))))
     rows = parsed(facts)
     model = model or UnitModel(bounds).fit(rows, key)
     plain = rows.filter("_field is not null").withColumns({"_unit": F.lit(None).cast("struct<family:string,power:int>"), "_chance": F.lit(None).cast("double")})

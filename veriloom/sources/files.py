@@ -11,7 +11,7 @@ from xml.etree import ElementTree as ET
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from veriloom.functions.ids import stable_id
 
@@ -28,7 +28,7 @@ def discover(spark: SparkSession, root: str, recursive: bool = True) -> DataFram
     return x.filter(F.col("suffix").isin(*SUFFIXES) & ~F.col("name").startswith("~$"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _zip_kind(content: pd.Series) -> pd.Series:
     def one(data: bytes) -> str | None:
         try:
