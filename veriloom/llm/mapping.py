@@ -81,10 +81,10 @@ def distance(a: str, b: str, most: int = 99) -> int:
             if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
                 d = min(d, before[j - 2] + 1)
             now.append(d)
-        if min(now) > most:
+        if min(now) > most and min(last) > most:  # a transposition reaches two rows back
             return most + 1
         before, last = last, now
-    return last[-1]
+    return min(last[-1], most + 1)
 
 
 def likeness(a: str, b: str) -> float:

@@ -133,4 +133,6 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": "select distinct parent_chunk_id from parent_chunks, (select max_size from size_limits where item_kind = 'parent_chunk') where parent_chunk_id is not null and length(display_text) > max_size",
+    }

@@ -123,14 +123,14 @@ _STATS = T.StructType([T.StructField("kind", T.ByteType()), T.StructField("code"
 _STEP = 3_000_000
 
 
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list]]:
     for b in batches:
-        keys, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+        keys, texts = b.column(0), b.column(1).to_pylist()
         a = n = 0
         for i, t in enumerate(texts):
             n += len(t or "")
             if n >= _STEP or i + 1 == len(texts):
-                yield keys[a : i + 1], texts[a : i + 1]
+                yield keys.slice(a, i + 1 - a), texts[a : i + 1]
                 a, n = i + 1, 0
 
 
@@ -259,7 +259,7 @@ class Stuffed:
                 words, pairs = (Table(*x) for x in shared.value)
                 for keys, texts in _steps(batches):
                     out = [signs(c, words, pairs, n_words) + (len(c),) for c in (tokenise(t)[0] for t in texts)]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([float(x[0]) for x in out]), pa.array([float(x[1]) for x in out]), pa.array([x[2] >= 12 and _is_seed(x[0], x[1], b) for x in out])], ["key", "coherence", "excess", "seed"])
+                    yield pa.RecordBatch.from_arrays([keys, pa.array([float(x[0]) for x in out]), pa.array([float(x[1]) for x in out]), pa.array([x[2] >= 12 and _is_seed(x[0], x[1], b) for x in out])], ["key", "coherence", "excess", "seed"])
 
             return self.docs.mapInArrow(run, schema)
 
@@ -269,7 +269,7 @@ class Stuffed:
                     c, _ = tokenise(t)
                     p = _mix(c[:-1], c[1:])
                     u, first, n = np.unique(p, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(u)), pa.array(u), pa.array(c[:-1][first]), pa.array(c[1:][first]), pa.array(n.astype(np.int64)), pa.array(np.full(len(u), len(c), np.int64))], ["key", "code", "x", "y", "m", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(k, len(u)), pa.array(u), pa.array(c[:-1][first]), pa.array(c[1:][first]), pa.array(n.astype(np.int64)), pa.array(np.full(len(u), len(c), np.int64))], ["key", "code", "x", "y", "m", "words"])
 
         one = self.counts.filter(F.col("kind") == _WORD)
         two = self.counts.filter(F.col("kind") == _PAIR).select("code", "c", "d")
@@ -332,7 +332,7 @@ class Stuffed:
                         if counting and out[-1] > b.half:
                             kept.append(f)
                     if not counting:
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(out, pa.float64())], ["key", "part"])
+                        yield pa.RecordBatch.from_arrays([keys, pa.array(out, pa.float64())], ["key", "part"])
                     elif kept:
                         u, n = np.unique(np.concatenate(kept), return_counts=True)
                         yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(n.astype(np.int64))], ["code", "c"])
@@ -349,20 +349,20 @@ class Stuffed:
             for keys, texts in _steps(batches):
                 for k, t in zip(keys, texts):
                     f = np.unique(terms(tokenise(t)[0]))
-                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(f)), pa.array(f)], ["key", "code"])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(k, len(f)), pa.array(f)], ["key", "code"])
 
         met = self.docs.mapInArrow(spell, f"key {self.kind}, code bigint").join(shares, "code").groupBy("key").agg(F.collect_list(F.struct("code", "share")).alias("s"))
 
         def run(batches):
             for batch in batches:
-                keys, texts, s = (batch.column(i).to_pylist() for i in range(3))
+                keys, texts, s = batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()
                 out = []
                 for t, pairs in zip(texts, s):
                     c, n = tokenise(t)
                     f = terms(c)
                     table = Table(np.array([p["code"] for p in pairs or []], np.int64), np.array([p["share"] for p in pairs or []], np.float64))
                     out.append(stuffed_part(f, table.of(f), n, b))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(out, pa.float64())], ["key", "part"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(out, pa.float64())], ["key", "part"])
 
         return self.docs.join(met, "key", "left").select("key", "text", "s").mapInArrow(run, f"key {self.kind}, part double")
 
