@@ -14,7 +14,36 @@ REGION_COLUMNS = ["row_id", "release_id", "period_start", "period_end", "period_
 LIFE_COLUMNS = ["row_id", "release_id", "period_start", "period_end", "period_basis", "entity_code", "entity_name", "entity_type", "metric_code", "metric_name", "metric_name_raw", "parent_metric_code", "product_line", "product_line_name", "product_line_raw", "value", "value_status", "unit", "scope_version", "accounting_basis_version", "source_cell", "formula_raw", "number_format", "footnotes", "quality_flags"]
 
 
-SQL: dict[str, str] = {}
+_REFS = """with tg as (select 'evidence_id' f, evidence_id id, deleted_at, created_at from evidence union all select 'document_id', document_id, deleted_at, created_at from document_records union all select 'source_id', source_id, deleted_at, created_at from source_files),
+t as (select f, id, bool_and(deleted_at is not null) del, min(created_at) since from tg where id is not null group by 1, 2),
+r as (select 'table_facts' table_name, fact_id record_id, 'evidence_id' field_name, 'evidence_id' f, evidence_id ref_id, created_at, strftime(period_end, '%Y-%m') period from table_facts
+ union all select 'table_facts', fact_id, 'document_id', 'document_id', document_id, created_at, strftime(period_end, '%Y-%m') from table_facts union all select 'table_facts', fact_id, 'source_id', 'source_id', source_id, created_at, strftime(period_end, '%Y-%m') from table_facts
+ union all select 'parent_chunks', parent_chunk_id, 'evidence_ids', 'evidence_id', unnest(evidence_ids), created_at, strftime(created_at, '%Y-%m') from parent_chunks),
+x as (select r.*, case when t.id is null then 'missing' when t.del then 'deleted' when t.since > r.created_at then 'late' end reason from r left join t on t.f = r.f and t.id = r.ref_id where r.ref_id is not null)"""
+_DRIFT = """with r as (select distinct feed_id, file_no, cast(payload as json) p, json_extract_string(payload, '$.rec_key') rec from raw_records where feed_id is not null and file_no is not null),
+fl as (select feed_id, file_no, min(source_file) source_file, lag(file_no) over (partition by feed_id order by file_no) prior_no from raw_records where feed_id is not null and file_no is not null group by 1, 2),
+k as (select feed_id, file_no, rec, p, unnest(json_keys(p)) "name" from r),
+v as (select feed_id, file_no, rec, "name", case json_type(p, '$."' || "name" || '"') when 'NULL' then null when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' else 'number' end kind, cast(json_extract(p, '$."' || "name" || '"') as varchar) c from k),
+s as (select feed_id, file_no, "name", list_sort(list(distinct kind) filter (kind is not null)) kinds from v group by 1, 2, 3),
+o as (select fl.feed_id, fl.file_no, s."name", coalesce(s.kinds, []) kinds from fl join s on s.feed_id = fl.feed_id and s.file_no = fl.prior_no),
+n as (select fl.feed_id, fl.file_no, s."name", coalesce(s.kinds, []) kinds from fl join s on s.feed_id = fl.feed_id and s.file_no = fl.file_no where fl.prior_no is not null),
+b as (select coalesce(o.feed_id, n.feed_id) feed_id, coalesce(o.file_no, n.file_no) file_no, coalesce(o."name", n."name") "name", o.kinds old, n.kinds new from o full join n on n.feed_id = o.feed_id and n.file_no = o.file_no and n."name" = o."name"),
+h as (select distinct fl.feed_id, fl.file_no, fl.prior_no, a.rec from fl join r a on a.feed_id = fl.feed_id and a.file_no = fl.file_no join r z on z.feed_id = fl.feed_id and z.file_no = fl.prior_no and z.rec = a.rec),
+w as (select distinct h.feed_id, h.file_no, h.rec, v."name", v.c from h join v on v.feed_id = h.feed_id and v.file_no = h.prior_no and v.rec = h.rec join b on b.feed_id = h.feed_id and b.file_no = h.file_no and b."name" = v."name" and b.new is null where v.kind is not null),
+u as (select distinct h.feed_id, h.file_no, h.rec, v."name", v.c from h join v on v.feed_id = h.feed_id and v.file_no = h.file_no and v.rec = h.rec join b on b.feed_id = h.feed_id and b.file_no = h.file_no and b."name" = v."name" and b.old is null where v.kind is not null),
+m as (select w.feed_id, w.file_no, w."name" prior_name, u."name", count(*) c from w join u on u.feed_id = w.feed_id and u.file_no = w.file_no and u.rec = w.rec and u.c = w.c group by 1, 2, 3, 4),
+e as (select m.* from m where c = (select count(*) from w where w.feed_id = m.feed_id and w.file_no = m.file_no and w."name" = m.prior_name) and c = (select count(*) from u where u.feed_id = m.feed_id and u.file_no = m.file_no and u."name" = m."name")),
+d as (select feed_id, file_no, 'renamed' change_kind, "name" field_name, prior_name from e
+ union all select feed_id, file_no, 'removed', "name", '' from b where new is null and not exists (select 1 from e where e.feed_id = b.feed_id and e.file_no = b.file_no and e.prior_name = b."name")
+ union all select feed_id, file_no, 'added', "name", '' from b where old is null and not exists (select 1 from e where e.feed_id = b.feed_id and e.file_no = b.file_no and e."name" = b."name")
+ union all select feed_id, file_no, 'type_changed', "name", '' from b where len(old) > 0 and len(new) > 0 and old <> new)
+select distinct fl.source_file, change_kind, field_name, prior_name from d join fl on fl.feed_id = d.feed_id and fl.file_no = d.file_no"""
+SQL: dict[str, str] = {
+    "p5_found": _DRIFT,
+    "p6_found": f"{_REFS} select distinct table_name, record_id, field_name, ref_id, reason from x where reason is not null",
+    "p6_counts": f"""{_REFS} select table_name, field_name, period, count(*) n_refs, count(*) filter (reason = 'missing') n_missing, count(*) filter (reason = 'deleted') n_deleted, count(*) filter (reason = 'late') n_late,
+ count(distinct ref_id) filter (reason is not null) n_orphan_ids, round(count(*) filter (reason is not null) / count(*), 6) orphan_share from x group by 1, 2, 3""",
+}
 
 # Problem 4: quantities recorded in different units
 
