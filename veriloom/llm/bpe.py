@@ -22,6 +22,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from veriloom.session import balanced
+
 #: Fixed value: the public cutting pattern of the byte-level vocabularies.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept per worker before the store starts anew.
@@ -187,7 +189,7 @@ def encode(df: DataFrame, key: str, text: str, path: str) -> DataFrame:
             ids = pa.ListArray.from_arrays(pa.array(np.cumsum(sizes, dtype=np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32)))
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(key)), ids], [key, "ids"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
+    return balanced(df.select(key, text)).mapInArrow(run, f"`{key}` {kind}, ids array<int>")
 
 
 def sizes(df: DataFrame, text: str, path: str, to: str = "n_tokens") -> DataFrame:
@@ -202,4 +204,4 @@ def sizes(df: DataFrame, text: str, path: str, to: str = "n_tokens") -> DataFram
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), n], [*kept, to])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept), f"`{to}` bigint"])
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return balanced(df.select(*kept, text)).mapInArrow(run, schema)

@@ -101,6 +101,11 @@ def _deletions(word: str, edits: int) -> set[str]:
     return out
 
 
+def _most(cheap: float, factor: float) -> float:
+    """The most that a score can become once the whole strings are compared."""
+    return ((cheap + 0.35) * 0.94 + 0.06) * factor
+
+
 def _within(short: str, long: str) -> bool:
     """True if short is long less some of its characters."""
     it = iter(long)
@@ -144,6 +149,7 @@ class Kind:
         for i, (_, _, toks) in enumerate(self.forms):
             for tok in set(toks):
                 self.post.setdefault(tok, []).append(i)
+        self.prepared = [(t, self.squeeze(f), Counter(toks), sum(self.idf[w] for w in toks), self.squeeze("".join(sorted(toks)))) for t, f, toks in self.forms]
         self.repaired: dict[str, dict[str, float]] = {}
 
     def clean(self, value: str) -> str:
@@ -221,7 +227,8 @@ class Kind:
         return best[n][1], 1 - best[n][2] / n
 
     def rank(self, value: str) -> list[tuple[float, str]]:
-        """(score, term_id) of the entries that share a repaired token with a value, best first."""
+        """(score, term_id) of the entries that share a repaired token with a value, best first. Entries that can come
+        neither first nor within the lead of the first may be left out."""
         text = self.clean(value)
         tight = self.squeeze(text)
         if not tight:
@@ -235,30 +242,39 @@ class Kind:
         views = [(toks, 1.0)]
         if not han and self.words:
             views.append(self.segment(core))
-        scores: dict[str, float] = {}
+        # What the tokens say first; whole strings are compared only while they could still change who leads.
+        found: list[tuple[float, float, float, str, str, str, str]] = []
         for view, told_share in views:
             links: dict[str, float] = {}
             for tok in view:
                 for w, s in self.repair(tok).items():
                     links[w] = max(links.get(w, 0.0), s)
             count = Counter(view)
-            told = {w: s for w, s in links.items()}
             # What the value says in known words beyond the entry counts against the entry.
             explained = {tok: max(self.repair(tok).items(), key=lambda x: x[1]) for tok in count if self.repair(tok)}
+            told = sum(self.idf[w] * s * count[tok] for tok, (w, s) in explained.items())
+            in_order = "" if han else self.squeeze("".join(sorted(view)))
+            factor = 0.4 + 0.6 * told_share
             for i in {i for w in links for i in self.post[w]}:
-                term, form, ftoks = self.forms[i]
-                fc = Counter(ftoks)
-                total = sum(self.idf[w] * c for w, c in fc.items())
-                hit = sum(self.idf[w] * told.get(w, 0.0) * (min(c, count.get(w, c)) if han else c) for w, c in fc.items())
-                over = sum(self.idf[w] * s * count[tok] for tok, (w, s) in explained.items() if w not in fc)
-                cover, exact = hit / total, hit / (total + over) if total + over else 0
-                whole = max(likeness(core, self.squeeze(form)), likeness(tight, self.squeeze(form)))
-                if not han:
-                    whole = max(whole, likeness(self.squeeze("".join(sorted(view))), self.squeeze("".join(sorted(ftoks)))))
-                score = 0.35 * cover + 0.3 * exact + 0.35 * whole
-                if len(core) > 2 and _within(core, self.squeeze(form)):
-                    score += 0.06 * (1 - score)  # only letters are missing
-                scores[term] = max(scores.get(term, 0.0), score * (0.4 + 0.6 * told_share))
+                term, form, fc, total, sorted_form = self.prepared[i]
+                hit = sum(self.idf[w] * links.get(w, 0.0) * (min(c, count.get(w, c)) if han else c) for w, c in fc.items())
+                over = told - sum(self.idf[w] * s * count[tok] for tok, (w, s) in explained.items() if w in fc)
+                cheap = 0.35 * hit / total + 0.3 * hit / (total + max(over, 0.0))
+                found.append((_most(cheap, factor), cheap, factor, term, form, sorted_form, in_order))
+        found.sort(key=lambda x: -x[0])
+        scores: dict[str, float] = {}
+        best = 0.0
+        for most, cheap, factor, term, form, sorted_form, in_order in found:
+            if most < best - self.bounds.lead:
+                break
+            whole = max(likeness(core, form), likeness(tight, form))
+            if not han:
+                whole = max(whole, likeness(in_order, sorted_form))
+            score = cheap + 0.35 * whole
+            if len(core) > 2 and _within(core, form):
+                score += 0.06 * (1 - score)  # only letters are missing
+            scores[term] = max(scores.get(term, 0.0), score * factor)
+            best = max(best, scores[term])
         return sorted(((s, t) for t, s in scores.items()), key=lambda x: (-x[0], x[1]))
 
     def bare(self, tight: str, han: bool) -> str:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veriloom.session import cut
+from veriloom.session import balanced, cut
 
 
 @dataclass(frozen=True)
@@ -237,7 +237,7 @@ class Stuffed:
     def __init__(self, docs: DataFrame, key: str, text: str, bounds: Bounds = Bounds()):
         self.b = bounds
         self.key, self.kind = key, dict(docs.dtypes)[key]
-        self.docs = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
+        self.docs = balanced(docs.select(F.col(key).alias("key"), F.col(text).alias("text")))
         self.counts = cut(corpus_counts(self.docs))
         self.n_words = float(self.counts.filter(F.col("kind") == _WORD).agg(F.coalesce(F.sum("c"), F.lit(1))).first()[0])
         self.words = _fetch(self.counts.filter(F.col("kind") == _WORD).select("code", "c"), bounds.most)
