@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriloom.session import balanced, cut
+
 # BM25 and fusion parameters, recall and rerank sizes, vocabulary size.
 K1, B, RRF_K, RECALL, RERANK, VOCABULARY, EVIDENCE = 1.2, 0.75, 60, 40, 8, 80_000, 12
 
@@ -27,7 +29,7 @@ def tokens(text: Column) -> Column:
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, term, tf)."""
-    return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return balanced(docs.select(key, text)).select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def bm25_index(docs: DataFrame, key: str, text: str, vocabulary: int = VOCABULARY) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -36,7 +38,7 @@ def bm25_index(docs: DataFrame, key: str, text: str, vocabulary: int = VOCABULAR
     Lengths count all tokens, in the vocabulary or not; texts without tokens have length 0 and count as documents. The
     vocabulary is the `vocabulary` terms of the highest document frequency, ties by term.
     """
-    counts = term_counts(docs, key, text)
+    counts = cut(term_counts(docs, key, text))
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     kept = stats.orderBy(F.desc("df"), "term").limit(vocabulary)
     length = counts.groupBy(key).agg(F.sum("tf").alias("dl"))

@@ -76,6 +76,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """df on all cores: rows of a scan with fewer splits than the cluster has cores are dealt out; others stay put.
+
+    For costly work per row. Inputs of any size beyond that have splits enough and aren't moved.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def bounded(df: DataFrame, most: int):
     """The rows of df as a list if there are at most `most`, else None. At most `most` + 1 rows are fetched."""
     rows = df.limit(most + 1).collect()
