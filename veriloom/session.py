@@ -69,7 +69,7 @@ def cut(df: DataFrame) -> DataFrame:
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", "") or ""
         if not folder:
-            if not sc.master.startswith("local["):
+            if sc.master != "local" and not sc.master.startswith("local["):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = os.path.join(tempfile.gettempdir(), f"veriloom-checkpoint-{sc.applicationId}")
         sc.setCheckpointDir(folder)
