@@ -1,7 +1,7 @@
 import unicodedata
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -48,6 +48,7 @@ def test_null_and_usual():
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(max_size=40))
+@example("Cµ")
 def test_fold_is_idempotent_and_clean(text):
     once = fold(text, V)
     assert fold(once, V) == once

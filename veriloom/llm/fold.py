@@ -125,10 +125,16 @@ def fold(value: str | None, vocabulary: Iterable[str] = (), case: bool = True) -
     if value is None:
         return None
     vocabulary = vocabulary if isinstance(vocabulary, frozenset) else frozenset(vocabulary)
-    text = _SPACE.sub(" ", _IGNORABLE.sub("", unicodedata.normalize("NFKC", value)))
-    text = _unlike(unicodedata.normalize("NFC", text), vocabulary)
-    if case:
-        text = unicodedata.normalize("NFKC", text.casefold())
+    # A step may make room for another (a look-alike whose folded form has a compatibility form); few texts need a second.
+    text = value
+    for _ in range(5):
+        before = text
+        text = _SPACE.sub(" ", _IGNORABLE.sub("", unicodedata.normalize("NFKC", text)))
+        text = _unlike(unicodedata.normalize("NFC", text), vocabulary)
+        if case:
+            text = unicodedata.normalize("NFKC", text.casefold())
+        if text == before:
+            break
     return re.sub(" +", " ", text).strip(" ")
 
 
