@@ -306,6 +306,14 @@ def rrf_fuse(spark, d):
     return _channels(spark, d).select("query_id", "doc_id", "dense_rank", "bm25_rank", "rrf")
 
 
+@query()
+def rrf_fuse_documents(spark, d):
+    """Words and hashed vectors fused over the whole id space of the documents (rows only: SQL hasn't the hash)."""
+    docs, queries = _docs(spark, d)
+    x = retrieval.fuse({"dense": retrieval.hashed_search(queries, docs, "doc_id", "text"), "bm25": _sparse(spark, d)}, "doc_id")
+    return x.select("query_id", "doc_id", "dense_rank", "bm25_rank", "rrf")
+
+
 @query(f"""with {_COSINE}, h as (select query_id // 200 question_id, query_id query_no, vec_id, score, "rank" from de), n as (select question_id, count(distinct query_no) n from h group by 1)
 select h.question_id, h.vec_id, round(case when n.n = 1 then max(score) else sum(1.0 / (60 + "rank")) end, 6) score from h join n using (question_id) group by h.question_id, h.vec_id, n.n""")
 def rrf_multi_query(spark, d):

@@ -6,6 +6,10 @@ tables: postings, term_stats, doc_stats. Scores are rounded before they rank, an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -144,3 +148,39 @@ def hashing_vector(text: Column, size: int = 64) -> Column:
     """The offline stand-in for an embedding model: counts of the words hashed into `size` places."""
     places = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
+
+
+def hashed_search(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int = RECALL, size: int = 64, block: int = 4096, query_block: int = 1024) -> DataFrame:
+    """(query_id, key, score, rank): the dense channel over texts, by cosine of their hashing_vectors, for queries
+    (query_id, text) against all rows.
+
+    Blocks of queries meet blocks of rows as matrices, so nothing is gathered in one place, and each pair of blocks
+    passes on the k best per query. A text without words is no hit and has none.
+    """
+    n_rows, n_queries = max(1, -(-docs.count() // block)), max(1, -(-queries.count() // query_block))
+    kinds = {c.name: c.dataType.simpleString() for c in [queries.schema["query_id"], docs.schema[key]]}
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.drop(columns="_p").assign(_v=[np.bincount(np.asarray(p, dtype="int64"), minlength=size) for p in b["_p"]])
+
+    def vectors(df: DataFrame, own: str, words: str, mine: str, n: int, other: str, n_other: int) -> DataFrame:
+        places = F.transform(tokens(F.col(words)), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
+        p = balanced(df.select(own, words)).select(own, places.alias("_p")).filter(F.size("_p") > 0)
+        v = p.mapInPandas(counted, f"{own} {kinds[own]}, _v array<int>")
+        return v.withColumn(mine, F.pmod(F.xxhash64(own), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))))
+
+    def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(q):
+            return pd.DataFrame({"query_id": q["query_id"][:0], key: v[key][:0], "score": np.zeros(0)})
+        v = v.sort_values(key, ignore_index=True)
+        a, b = np.stack(q["_v"]).astype("float64"), np.stack(v["_v"]).astype("float64")
+        score = np.round((a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]), 6)
+        at = np.argsort(-score, axis=1, kind="stable")[:, :k]  # equal scores keep the order of the keys
+        out = pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), at.shape[1]), key: v[key].to_numpy()[at.ravel()], "score": np.take_along_axis(score, at, 1).ravel()})
+        return out[out["score"] > 0]
+
+    v = vectors(docs, key, text, "_b", n_rows, "_q", n_queries)
+    q = vectors(queries, "query_id", "text", "_q", n_queries, "_b", n_rows)
+    hits = v.groupBy("_b", "_q").cogroup(q.groupBy("_b", "_q")).applyInPandas(best, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
+    return top(hits, key, k)
