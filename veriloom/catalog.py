@@ -456,6 +456,13 @@ def text_label_keys(spark, d):
     return table(spark, d, "table_facts", "metric_name").filter("metric_name is not null and not metric_name rlike '[^ -~一-鿿、（）：＊]'").select("metric_name", text.label_key(F.col("metric_name")).alias("label_key")).distinct()
 
 
+@query()
+def text_label_keys_all(spark, d):
+    """The label key of every metric name, whatever its characters (rows only: SQL has no NFKC)."""
+    names = table(spark, d, "table_facts", "metric_name").filter("metric_name is not null").distinct()
+    return names.select("metric_name", text.full_label_key(F.col("metric_name")).alias("label_key"))
+
+
 @query(r"select distinct source_id, lower(regexp_replace(regexp_replace(original_file_name, '\.[^.]*$', ''), '[^\p{L}\p{N}]', '', 'g')) file_key from source_files")
 def text_file_keys(spark, d):
     return table(spark, d, "source_files", "source_id", "original_file_name").select("source_id", text.file_key(F.col("original_file_name")).alias("file_key")).distinct()

@@ -59,6 +59,15 @@ def label_key(text: Column) -> Column:
     return F.regexp_replace(t, r"^(?:其中[：:])+", "")
 
 
+def full_label_key(text: Column) -> Column:
+    """label_key of any text: NFKC first, then all white space goes. NFKC turns wide brackets into ASCII ones, so these
+    are the ones around the Han number (the reference looks for wide ones after NFKC and never finds any)."""
+    t = F.regexp_replace(nfkc(text), r"[\s\x1c-\x1f\x85\x{1680}\x{2028}\x{2029}]+", "")
+    t = F.regexp_replace(F.regexp_replace(t, r"\*", ""), r"^[0-9]+[.、]", "")
+    t = F.regexp_replace(t, r"^\([一二三四五六七八九十]+\)", "")
+    return F.regexp_replace(t, r"^(?:其中:)+", "")
+
+
 def file_key(name: Column) -> Column:
     """A file name's stem in lower case, letters and digits only."""
     stem = F.regexp_replace(F.regexp_replace(name, r"^.*[/\\]", ""), r"(?<=.)\.[^.]*$", "")
