@@ -161,29 +161,50 @@ def name_classes(edges: list[tuple[str, str]], wanted: list[str], names: list[st
 
 def plain(kind: Column, content: Column) -> Column:
     """The cast rule: a scalar of any JSON type as text; a list of one as its element; an object as the member that
-    carries its text (text, code, value, amount, name), if it has one; anything else stays JSON."""
+    carries its text (text, code, value, amount, name) or its number (num), if it has one; anything else stays JSON."""
     v = F.parse_json(content)
-    inner = F.coalesce(*(F.try_variant_get(v, f"$.{m}", "string") for m in ("text", "code", "value", "amount", "name")))
+    inner = F.coalesce(*(F.try_variant_get(v, f"$.{m}", "string") for m in ("text", "code", "value", "amount", "name", "num")))
     single = F.when(F.try_variant_get(v, "$[1]", "string").isNull(), F.try_variant_get(v, "$[0]", "string"))
     return F.when(kind == "object", F.coalesce(inner, content)).when(kind == "array", F.coalesce(single, content)).otherwise(v.cast("string"))
 
 
-def consistent(raw: DataFrame, wanted: list[str], key: str = "rec_key", most_names: int = 100_000) -> DataFrame:
-    """All files as one table: (feed_id, file_no, source_file, schema_version, rec, one text column per wanted field,
-    extra_fields), one row per file and record.
+def ungrouped(text: Column) -> Column:
+    """A number without its thousands commas; text that isn't wholly a number so grouped stays."""
+    return F.when(text.rlike(r"^\s*[-+]?[0-9]{1,3}(,[0-9]{3})+(\.[0-9]+)?\s*$"), F.regexp_replace(text, ",", "")).otherwise(text)
 
-    Each field goes through the chained renames (name_classes), then the cast rule (plain); a wanted field that a
-    file lacks gets the default null. Fields outside `wanted` keep their class name in the map extra_fields, so that
-    nothing is lost. If a file holds a record twice with different content, the greatest content wins.
+
+def typed(text: Column, kind: str) -> Column:
+    """Text as a value of the target type, null where it isn't one or would lose digits."""
+    if kind == "string":
+        return text
+    if not kind.startswith("decimal"):
+        return text.try_cast(kind)
+    value, whole = ungrouped(text).try_cast(kind), ungrouped(text).try_cast("decimal(38,18)")
+    return F.when(value == whole, value)
+
+
+def consistent(raw: DataFrame, wanted: list[str] | dict[str, str], key: str = "rec_key", most_names: int = 100_000) -> DataFrame:
+    """All files as one table: (feed_id, file_no, source_file, schema_version, rec, one column per wanted field,
+    extra_fields, uncast_fields), one row per file and record.
+
+    `wanted` gives each field its target type; in a list all are text. Each field goes through the chained renames
+    (name_classes), then the cast rule (plain, typed); a wanted field that a file lacks gets the default null. Fields
+    outside `wanted` keep their class name in the map extra_fields, those that are numbers in any record without
+    thousands commas; what can't be cast keeps its text in the map uncast_fields, so that nothing is lost. If a file
+    holds a record twice with different content, the greatest content wins.
     """
+    kinds = wanted if isinstance(wanted, dict) else dict.fromkeys(wanted, "string")
+    wanted = list(kinds)
     edges = changes(raw, key).filter("change_kind = 'renamed'").select("prior_name", "field_name").distinct().limit(most_names + 1).collect()
     if len(edges) > most_names:
         raise ValueError(f"more than {most_names} distinct renames: the schemas don't describe one kind of record")
     flat = fields(raw, key).filter(F.col("name") != key)
-    names = bounded(flat.select("name").distinct(), most_names)
+    names = bounded(flat.groupBy("name").agg(F.coalesce(F.bool_or(F.col("kind") == "number"), F.lit(False)).alias("number")), most_names)
     if names is None:
         raise ValueError(f"more than {most_names} distinct field names: the payloads don't describe one kind of record")
-    classes = {a: b for a, b in name_classes([tuple(e) for e in edges], wanted, [r[0] for r in names]).items() if a != b}
+    named = name_classes([tuple(e) for e in edges], wanted, [r[0] for r in names])
+    numbers = {named.get(r[0], r[0]) for r in names if r[1]}
+    classes = {a: b for a, b in named.items() if a != b}
     name = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in classes.items() for x in kv)), F.col("name")), F.col("name")) if classes else F.col("name")
     flat = flat.withColumn("to", name)
     cell = flat.filter("content is not null").groupBy(*FILE, "rec", "to").agg(F.max(plain(F.col("kind"), F.col("content"))).alias("text"))
@@ -192,9 +213,22 @@ def consistent(raw: DataFrame, wanted: list[str], key: str = "rec_key", most_nam
     wide = cell.groupBy(*FILE, "rec").agg(F.map_from_entries(F.collect_list(F.struct("to", "text"))).alias("m"))
     versions = schema_versions(raw, key).select(*FILE, "source_file", F.col("version").alias("schema_version"))
     kept = F.map_filter("m", lambda k, _: ~k.isin(*wanted)) if wanted else F.col("m")
+    if numbers - set(wanted):
+        kept = F.transform_values(kept, lambda k, v: F.when(k.isin(*sorted(numbers - set(wanted))), ungrouped(v)).otherwise(v))
+    bad = [w for w in wanted if kinds[w] != "string"]
+    at = lambda w: F.element_at("m", w)
+    # map_filter leaves the fields whose text is there and has no value of the target type.
+    failed = F.map_filter("m", lambda k, v: F.coalesce(*(F.when(k == w, v.isNotNull() & typed(v, kinds[w]).isNull()) for w in bad), F.lit(False))) if bad else F.map_filter("m", lambda k, v: F.lit(False))
     return (
         rows.join(wide, (rows.feed_id == wide.feed_id) & (rows.file_no == wide.file_no) & rows.rec.eqNullSafe(wide.rec), "left")
         .select(rows.feed_id, rows.file_no, rows.rec, "m")
         .join(versions, FILE)
-        .select(*FILE, "source_file", "schema_version", "rec", *(F.element_at("m", w).alias(w) for w in wanted), kept.alias("extra_fields"))
+        .select(*FILE, "source_file", "schema_version", "rec", *(typed(at(w), kinds[w]).alias(w) for w in wanted), kept.alias("extra_fields"), failed.alias("uncast_fields"))
     )
+
+
+def cast_failures(table: DataFrame) -> DataFrame:
+    """(feed_id, file_no, source_file, change_kind, field_name, n_records, example): the values of a consistent table
+    that no cast could bring to their type, counted per file and field as the change `uncast`."""
+    x = table.select(*FILE, "source_file", F.explode("uncast_fields").alias("field_name", "text"))
+    return x.groupBy(*FILE, "source_file", F.lit("uncast").alias("change_kind"), "field_name").agg(F.count(F.lit(1)).alias("n_records"), F.min("text").alias("example"))

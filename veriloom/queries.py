@@ -12,6 +12,9 @@ from veriloom.session import table
 
 REGION_COLUMNS = ["row_id", "release_id", "period_start", "period_end", "period_basis", "region_code", "region_name", "region_name_raw", "region_type", "metric_code", "metric_name", "metric_name_raw", "value", "value_status", "unit", "scope_version", "statistical_scope_version", "accounting_basis_version", "source_cell", "formula_raw", "number_format", "footnotes", "quality_flags"]
 LIFE_COLUMNS = ["row_id", "release_id", "period_start", "period_end", "period_basis", "entity_code", "entity_name", "entity_type", "metric_code", "metric_name", "metric_name_raw", "parent_metric_code", "product_line", "product_line_name", "product_line_raw", "value", "value_status", "unit", "scope_version", "accounting_basis_version", "source_cell", "formula_raw", "number_format", "footnotes", "quality_flags"]
+# The types of the facts tables; fields not named are text.
+REGION_TYPES = dict.fromkeys(REGION_COLUMNS, "string") | {"period_start": "date", "period_end": "date", "value": "decimal(20,6)"}
+LIFE_TYPES = dict.fromkeys(LIFE_COLUMNS, "string") | {"period_start": "date", "period_end": "date", "value": "decimal(38,18)"}
 
 
 _REFS = """with tg as (select 'evidence_id' f, evidence_id id, deleted_at, created_at from evidence union all select 'document_id', document_id, deleted_at, created_at from document_records union all select 'source_id', source_id, deleted_at, created_at from source_files),
@@ -85,11 +88,21 @@ def p5_schema_versions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_region_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent(_raw(spark, d, "region_premium_facts"), REGION_COLUMNS)
+    return drift.consistent(_raw(spark, d, "region_premium_facts"), REGION_TYPES)
 
 
 def p5_life_table(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent(_raw(spark, d, "life_insurance_facts"), LIFE_COLUMNS)
+    return drift.consistent(_raw(spark, d, "life_insurance_facts"), LIFE_TYPES)
+
+
+def p5_region_uncast(spark: SparkSession, d: str) -> DataFrame:
+    """What p5_region_table couldn't cast to its type, per file and field."""
+    return drift.cast_failures(p5_region_table(spark, d))
+
+
+def p5_life_uncast(spark: SparkSession, d: str) -> DataFrame:
+    """What p5_life_table couldn't cast to its type, per file and field."""
+    return drift.cast_failures(p5_life_table(spark, d))
 
 
 # Problem 6: references to records that do not exist
@@ -114,7 +127,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return refs.orphan_counts(*_references(spark, d))
 
 
-PROBLEMS = (p4_found, p4_common_values, p5_found, p5_migrations, p5_schema_versions, p5_region_table, p5_life_table, p6_found, p6_counts)
+PROBLEMS = (p4_found, p4_common_values, p5_found, p5_migrations, p5_schema_versions, p5_region_table, p5_life_table, p5_region_uncast, p5_life_uncast, p6_found, p6_counts)
 
 
 def queries():
