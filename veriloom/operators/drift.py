@@ -122,6 +122,20 @@ def schema_versions(raw: DataFrame, key: str = "rec_key") -> DataFrame:
     )
 
 
+def unified_version(spelled: Column) -> Column:
+    """A delivered version in one spelling: '2.0', 'v2' and 'V2' as V2, 'V2-2022' and 'v2_2022' as V2_2022; other
+    text in upper case, blank as null."""
+    t = F.regexp_replace(F.upper(F.trim(spelled)), r"[-\s.]+", "_")
+    t = F.regexp_replace(F.regexp_replace(t, r"^V?_?([0-9]+)(_0+)*$", "V$1"), r"^V?_?([0-9]+)_((?:19|20)[0-9]{2})$", "V$1_$2")
+    return F.nullif(t, F.lit(""))
+
+
+def delivered_versions(raw: DataFrame, kind: str, spelled: Column) -> DataFrame:
+    """Per file: the versions its rows were delivered with, unified, as a sorted list, and how many rows have none."""
+    x = raw.filter(F.col("feed_id").isNotNull() & F.col("file_no").isNotNull()).select(*FILE, unified_version(spelled).alias("v"))
+    return x.groupBy(*FILE).agg(F.array_sort(F.collect_set("v")).alias(f"delivered_{kind}_versions"), F.count_if(F.col("v").isNull()).alias(f"n_no_{kind}_version"))
+
+
 def migrations(raw: DataFrame, key: str = "rec_key") -> DataFrame:
     """The explicit steps from each file's schema to the next: rename, drop, default (null) and cast, in that order."""
     step = F.when(F.col("change_kind") == "renamed", "rename").when(F.col("change_kind") == "removed", "default").when(F.col("change_kind") == "added", "extend").otherwise("cast")

@@ -84,7 +84,20 @@ def p5_migrations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_schema_versions(spark: SparkSession, d: str) -> DataFrame:
-    return drift.schema_versions(_raw(spark, d))
+    """The fingerprint version of each file beside the schema versions that it was delivered with."""
+    raw = table(spark, d, "raw_records", "feed_id", "file_no", "schema_version")
+    return drift.schema_versions(_raw(spark, d)).join(drift.delivered_versions(raw, "schema", F.col("schema_version")), drift.FILE, "left")
+
+
+def p5_fact_versions(spark: SparkSession, d: str) -> DataFrame:
+    """The schema and scope versions of the facts by source file, unified: spellings and rows of each (null: none told)."""
+    out = None
+    for t, fields in (("region_premium_facts", ["schema_version", "scope_version"]), ("life_insurance_facts", ["schema_version", "scope_version"])):
+        cells = F.explode(F.array(*(F.struct(F.lit(f).alias("field_name"), F.col(f).alias("spelled")) for f in fields)))
+        part = table(spark, d, t, "source_file", *fields).select(F.lit(t).alias("table_name"), "source_file", cells.alias("c")).select("table_name", "source_file", "c.*")
+        out = part if out is None else out.unionByName(part)
+    keys = ["table_name", "source_file", "field_name", drift.unified_version(F.col("spelled")).alias("version")]
+    return out.groupBy(*keys).agg(F.count_distinct("spelled").alias("n_spellings"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def p5_region_table(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +140,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return refs.orphan_counts(*_references(spark, d))
 
 
-PROBLEMS = (p4_found, p4_common_values, p5_found, p5_migrations, p5_schema_versions, p5_region_table, p5_life_table, p5_region_uncast, p5_life_uncast, p6_found, p6_counts)
+PROBLEMS = (p4_found, p4_common_values, p5_found, p5_migrations, p5_schema_versions, p5_fact_versions, p5_region_table, p5_life_table, p5_region_uncast, p5_life_uncast, p6_found, p6_counts)
 
 
 def queries():
