@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veriloom.llm.fold import SUSPECT, fold, irregular, words_of
+from veriloom.llm.fold import SUSPECT, USUAL_HAN, fold, irregular, words_of
 from veriloom.llm.mapping import Bounds, Matcher
 from veriloom.session import bounded
 
@@ -54,7 +54,7 @@ def forms(cells: DataFrame, usual: list[str]) -> DataFrame:
             yield b.assign(form=[fold(v, vocabulary) for v in b["value"]], odd=[irregular(v, vocabulary) for v in b["value"]])
 
     suspect = F.col("value").rlike(SUSPECT)
-    plain = F.trim(F.regexp_replace(F.lower("value"), " +", " "))
+    plain = F.translate(F.trim(F.regexp_replace(F.lower("value"), " +", " ")), "".join(USUAL_HAN), "".join(USUAL_HAN.values()))
     done = spread(cells.filter(suspect).select("value").distinct(), "value").mapInPandas(run, "value string, form string, odd boolean")
     return cells.filter(~suspect).withColumns({"form": plain, "odd": F.lit(False)}).unionByName(cells.filter(suspect).join(done, "value").select(*cells.columns, "form", "odd"))
 
