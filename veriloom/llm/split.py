@@ -5,7 +5,7 @@ midpoint, and both halves are cut again while they are too long; then each piece
 characters before it. So the cores of the pieces tile the text, and a piece never exceeds the limit.
 
 Sizes are Unicode code points. Boundaries, strongest first: blank line, line end, sentence end, clause end, white
-space; where there is none near the midpoint the cut is hard, but never before a combining mark, a joiner or a
+space; where the stretch has none at all the cut is hard, but never before a combining mark, a joiner or a
 variation selector. Null and empty texts and texts within the limit are one piece.
 """
 
@@ -35,7 +35,8 @@ def _glued(text: str, at: int) -> bool:
 
 
 def cut_point(text: str, start: int, end: int) -> int:
-    """Where to cut text[start:end]: the strongest boundary in its middle half, the nearest to the midpoint of these."""
+    """Where to cut text[start:end]: the strongest boundary in its middle half, the nearest to the midpoint of these; if
+    that has none, the nearest boundary anywhere in it."""
     middle, reach = (start + end) // 2, max(1, (end - start) // 4)
     low, high = middle - reach, middle + reach
     for _, pattern in _BOUNDARIES:
@@ -45,6 +46,10 @@ def cut_point(text: str, start: int, end: int) -> int:
                 best = m.end()
         if best is not None:
             return best
+    # Of equally near ones the strongest comes first.
+    found = [m.end() for _, pattern in _BOUNDARIES for m in pattern.finditer(text, start, end) if start < m.end() < end]
+    if found:
+        return min(found, key=lambda x: abs(x - middle))
     at = middle
     while at > low and _glued(text, at):
         at -= 1
