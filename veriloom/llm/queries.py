@@ -124,8 +124,8 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_scores(spark: SparkSession, d: str) -> DataFrame:
-    """The stuffed part of every document."""
-    return stuffed.stuffed(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", F.round("part", 6).alias("part"), "flagged")
+    """The stuffed part of every document, by mean mutual information and excess, and what the check confirms of it."""
+    return stuffed.stuffed(table(spark, d, "documents", "doc_id", "text"), "doc_id", "text").select("doc_id", F.round("part", 6).alias("part"), F.round("checked", 6).alias("checked"), "flagged")
 
 
 def queries():
