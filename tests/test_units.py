@@ -75,3 +75,25 @@ def test_ensemble_is_calibrated_on_held_out_rows(spark, data):
     # Held against the words in raw_value of rows whose unit field is missing.
     told = model.predict(parsed.filter("_field is null and _text is not null")).filter("_chance >= 0.9").agg(F.avg((F.col("_unit.family") == F.col("_text.family")).cast("int"))).first()[0]
     assert told is None or told > 0.85
+
+
+def test_spellings_beyond_the_local_bound_join_alike(spark):
+    df = rows(spark, *((r, None, u, s) for r, u, s, _, _ in CASES))
+    a, b = (sorted(map(str, units.parsed(df, most=n).collect())) for n in (5_000, 0))
+    assert a == b
+
+
+def test_ensemble_converts_and_words_check_it(spark):
+    df = rows(spark, *((f"{x}{u}", None, None, None) for x in range(1, 40) for u in ("万元", "%", "千件", "亿元")), ("7", None, None, None))
+    got = units.convert(df).collect()
+    told = [r for r in got if r["raw_value"] != "7"]
+    assert all(r["unit_source"] == "predicted" and r["agrees"] and r["unit_chance"] >= 0.9 for r in told)
+
+    class Wrong(units.UnitModel):
+        def predict(self, rows):
+            return rows.withColumns({"_unit": F.struct(F.lit("money").alias("family"), F.lit(1).alias("power")), "_chance": F.lit(1.0)})
+
+    # A confident prediction that the words contradict is not converted.
+    wrong = units.convert(df, model=Wrong())
+    assert wrong.filter("raw_value <> '7' and unit_source <> 'review'").count() == 0
+    assert {r["fact_id"] for r in units.review_queue(wrong).collect()} == {r["fact_id"] for r in told}

@@ -1,17 +1,19 @@
 """Quantities recorded in different units: every value comes out in the common unit of its quantity.
 
-A unit is a family (money, ratio, count) and a power of ten. It is read from, in this order:
+A unit is a family (money, ratio, count) and a power of ten. It is told by, in this order:
   field      the unit column, together with scale (null scale = 1)
-  text       the words around the number in raw_value, where unit is null
-  predicted  a calibrated tree ensemble, where neither tells the unit and the calibrated chance is at least `sure`
-  review     none of these: the row is kept, unconverted, for a person to decide
-
-The ensemble (random forest) is trained on a bounded sample of rows whose unit is known, by field or by words, and
-predicts the unit from magnitude, source, category (metric), neighbouring fields and whether the unit field is missing
-(rows that lack it mix their units differently), never from normalized_value, which is what is to be
-checked. A quarter of the sample is held out: on one half of it an isotonic regression turns the forest's vote into the
-chance of being right, on the other half the accuracy is measured, so no row that is fitted on is measured on. The words in raw_value are the exact check on a prediction: where they name a unit, they decide, and
-`agrees` tells whether the prediction was the same.
+  predicted  a calibrated tree ensemble, where the unit column is null or names no unit known
+  review     neither: the row is kept, unconverted, for a person to decide
+
+The ensemble (random forest) predicts a missing unit from magnitude, source, category (metric), neighbouring fields and
+the words around the number in raw_value, never from normalized_value, which is what is to be checked. It is trained on
+a bounded sample of labelled rows, of each label and origin as many where it can be, and on the spellings of the unit
+words themselves (lexicon rows: each unit with and without its word, over all magnitudes), so that a unit too rare for
+the sample is known too and a bare number leaves it undecided. A quarter of all that is held out: on one half of it an
+isotonic regression, weighted to the frequencies of the data, turns the forest's vote into the chance of being right,
+on the other half the accuracy is measured, so no row that is fitted on is measured on. Predictions of at least the
+chance `sure` are converted; an exact check follows: where the words name a unit, a prediction that differs from it goes
+to review (`agrees` is false). The words alone convert nothing.
 
 Defined results: a null, empty or numberless raw_value has no value; parentheses around a number mean minus; commas
 between digits group thousands; full-width digits and signs count as plain ones; a non-null unit that isn't known goes
@@ -23,7 +25,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import FeatureHasher
+from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
@@ -125,17 +127,24 @@ def in_common(value: Column, family: Column, power: Column) -> Column:
 
 @dataclass(frozen=True)
 class Bounds:
-    """sample: most labelled rows that the ensemble is fitted and calibrated on; the rest is its shape."""
+    """sample: about the most labelled rows that the ensemble is fitted and calibrated on; classes: the most units that
+    it tells apart, the most frequent ones (rows of others go to review); the rest is its shape."""
 
     sample: int = 20_000
-    trees: int = 24
-    depth: int = 9
-    features: int = 256
+    classes: int = 100
+    alike: float = 0.9
+    bare: float = 0.05
+    trees: int = 12
+    depth: int = 12
+    bins: int = 128
+    features: int = 64
     sure: float = 0.9
     seed: int = 7
 
 
 _TEXTS = ["source_id", "table_id", "metric_code", "metric_name", "entity_code", "period_basis", "value_type", "statistical_scope", "accounting_basis", "sheet_name"]
+_FAMILIES = ["money", "ratio", "count"]
+_UNIT = "struct<family:string,power:int>"
 
 
 def _key(*columns: str) -> Column:
@@ -149,7 +158,12 @@ def _local(df: DataFrame, most: int) -> DataFrame:
 
 
 def parsed(facts: DataFrame, most: int = 5_000) -> DataFrame:
-    """facts with its number, the unit of its fields and the unit of its words (columns _value, _field, _text).
+    """facts with its number, the unit of its fields and the unit of its words (columns _value, _field, _text)."""
+    return _parsed(facts, most)[0]
+
+
+def _parsed(facts: DataFrame, most: int = 5_000) -> tuple[DataFrame, DataFrame]:
+    """(parsed facts, (_field, _text, n): how many rows with a value have each pair of units).
 
     Units are read once per distinct spelling and come back by join. Up to `most` spellings are fetched and go back as
     a local relation, small enough for Spark to broadcast by its own size check; with more, the join shuffles.
@@ -158,10 +172,12 @@ def parsed(facts: DataFrame, most: int = 5_000) -> DataFrame:
     # What is left without the number, marks and blanks.
     bare = F.regexp_replace(F.regexp_replace("_plain", _NUMBER, " "), r"[*#()\s]+", " ")
     x = x.withColumns({"_value": number(F.col("_plain")), "_words": F.trim(bare), "_fk": _key("unit", "scale")}).drop("_plain")
-    by_field = read_units(facts.select("unit", "scale").distinct(), "unit", "_field", "scale").select(_key("unit", "scale").alias("_fk"), "_field")
-    by_words = read_units(x.filter("_words <> ''").select("_words").distinct(), "_words", "_text")
+    seen = cut(x.groupBy("_fk", "unit", "scale", "_words").agg(F.count("_value").alias("n")))
+    by_field = read_units(seen.select("_fk", "unit", "scale").distinct(), "unit", "_field", "scale").select("_fk", "_field")
+    by_words = read_units(seen.select("_words").filter("_words <> ''").distinct(), "_words", "_text").select("_words", "_text")
     by_field, by_words = (_local(y, most) for y in (by_field, by_words))
-    return x.join(by_field, "_fk", "left").join(by_words, "_words", "left").select(*facts.columns, "_value", "_field", "_text")
+    both = lambda df: df.join(by_field, "_fk", "left").join(by_words, "_words", "left")
+    return both(x).select(*facts.columns, "_value", "_field", "_text"), both(seen).groupBy("_field", "_text").agg(F.sum("n").alias("n"))
 
 
 class UnitModel:
@@ -175,38 +191,67 @@ class UnitModel:
 
     def _features(self, df: DataFrame) -> DataFrame:
         magnitude = F.when(F.col("_value").isNull() | (F.col("_value") == 0), 0.0).otherwise(F.log10(F.abs(F.col("_value"))))
-        x = df.withColumns({
+        plain = {
             "x_magnitude": magnitude,
             "x_negative": (F.coalesce(F.col("_value"), F.lit(0.0)) < 0).cast("double"),
-            "x_missing": F.col("_field").isNull().cast("double"),
             "x_zero": (F.coalesce(F.col("_value"), F.lit(0.0)) == 0).cast("double"),
-            **{f"x_{c}": F.coalesce(F.col(c).cast("string"), F.lit("-")) if c in df.columns else F.lit("-") for c in _TEXTS},
-        })
-        hashed = FeatureHasher(inputCols=["x_magnitude", "x_negative", "x_zero", "x_missing", *(f"x_{c}" for c in _TEXTS)], outputCol="x", numFeatures=self.b.features)
-        return hashed.transform(x)
+            # The words of raw_value; families lie 40 powers apart, so that one number tells family and power.
+            **{f"x_{f}": F.coalesce((F.col("_text.family") == f).cast("double"), F.lit(0.0)) for f in _FAMILIES},
+            "x_word": F.coalesce(F.col("_text.power") + 40.0 * F.array_position(F.array(*map(F.lit, _FAMILIES)), F.col("_text.family")), F.lit(0.0)),
+        }
+        x = df.withColumns({**plain, **{f"x_{c}": F.coalesce(F.col(c).cast("string"), F.lit("-")) if c in df.columns else F.lit("-") for c in _TEXTS}})
+        hashed = FeatureHasher(inputCols=[f"x_{c}" for c in _TEXTS], outputCol="x_hashed", numFeatures=self.b.features)
+        return VectorAssembler(inputCols=[*plain, "x_hashed"], outputCol="x").transform(hashed.transform(x))
 
     @staticmethod
     def _label() -> Column:
         u = F.coalesce("_field", "_text")
         return F.concat(u["family"], F.lit(":"), u["power"])
 
-    def fit(self, rows: DataFrame, key: str) -> UnitModel:
+    def _lexicon(self, like: DataFrame) -> DataFrame:
+        """Rows that spell every unit of the lexicon, with its word and without, over all magnitudes."""
+        powers = sorted({0, *POWERS.values()})
+        units_ = [("money", p) for p in powers] + [("count", p) for p in powers] + [("ratio", p) for p in sorted(set(RATIOS.values()))]
+        rows = [(f"{f}:{p}", (f, p) if told else None, float(10**m), m, told) for f, p in units_ for m in range(-2, 10) for told in (True, False)]
+        x = like.sparkSession.createDataFrame(rows, f"_name string, _text {_UNIT}, _value double, m int, told boolean")
+        part = F.pmod(F.xxhash64(F.lit(self.b.seed), "_name", "m", "told"), F.lit(8)).cast("int")
+        texts = {c: F.lit(None).cast("string") for c in _TEXTS if c in like.columns}
+        return x.withColumns({"part": part, "w": F.lit(1.0), **texts}).drop("m", "told")
+
+    def fit(self, rows: DataFrame, key: str, seen: DataFrame | None = None) -> UnitModel:
+        """seen: how many rows have each pair of units (_parsed); counted here if it isn't given."""
         b = self.b
-        # A bounded sample, the same one in every run: the labelled rows with the smallest hashes.
-        known = rows.filter("coalesce(_field, _text) is not null and _value is not null").withColumn("_h", F.xxhash64(F.lit(b.seed), key))
-        wanted = ["_h", "_value", "_field", "_text", *(c for c in _TEXTS if c in rows.columns)]
-        local = cut(known.select(*wanted).orderBy("_h").limit(b.sample).withColumn("_name", self._label()))
-        counts = local.groupBy("_name").count().orderBy("_name").collect()
-        self.labels = [r["_name"] for r in counts]
-        if len(self.labels) < 2 or sum(r["count"] for r in counts) < 40:
-            return self
+        if seen is None:
+            seen = rows.groupBy("_field", "_text").agg(F.count("_value").alias("n"))
+        stratum = F.concat(self._label(), F.when(F.col("_field").isNull(), "?").otherwise(""))
+        strata = seen.filter("coalesce(_field, _text) is not null and n > 0").groupBy(self._label().alias("_name"), stratum.alias("stratum")).agg(F.sum("n").alias("n"))
+        counts = strata.orderBy(F.desc("n"), "stratum").limit(2 * b.classes).collect()
+        # Of each stratum the rows with the smallest hashes, as many as its quota lets expect; the same ones in every run.
+        # Rows that lack the unit field, like those to be predicted, get `alike` of the sample.
+        alike = sum(r["stratum"].endswith("?") for r in counts)
+        quota = {True: b.sample * b.alike / max(1, alike), False: b.sample * (1 - b.alike) / max(1, len(counts) - alike)}
+        share = {r["stratum"]: min(1.0, quota[r["stratum"].endswith("?")] / r["n"]) for r in counts}
+        lexicon = self._lexicon(rows)
+        wanted = ["_name", "_text", "_value", "part", "w", *(c for c in _TEXTS if c in rows.columns)]
+        local = lexicon.select(wanted)
+        if share:
+            of = F.element_at(F.create_map(*(F.lit(v) for kv in share.items() for v in kv)), F.col("_stratum"))
+            known = rows.filter("coalesce(_field, _text) is not null and _value is not null").withColumns({"_h": F.xxhash64(F.lit(b.seed), key), "_stratum": stratum})
+            kept = known.withColumn("_share", of).filter((F.pmod(F.shiftright("_h", 3), F.lit(1_000_000)) < F.col("_share") * 1_000_000))
+            local = local.unionByName(kept.withColumns({"_name": self._label(), "part": F.pmod("_h", F.lit(8)).cast("int"), "w": 1 / F.col("_share")}).select(wanted))
+        n = min(8, rows.sparkSession.sparkContext.defaultParallelism)
+        local = cut(local.repartition(n, "_name", "_value"))
+        self.labels = sorted({r["_name"] for r in local.select("_name").distinct().collect()})
         index = F.array_position(F.array(*map(F.lit, self.labels)), F.col("_name")) - 1
-        x = self._features(local).withColumn("y", index.cast("double")).withColumn("part", F.pmod("_h", F.lit(8))).select("x", "y", "part").repartition(4).cache()
-        self.forest = RandomForestClassifier(featuresCol="x", labelCol="y", numTrees=b.trees, maxDepth=b.depth, seed=b.seed, featureSubsetStrategy="onethird").fit(x.filter("part not in (0, 4)"))
+        # Rows with words are what the trees divide first; bare numbers share what room is left.
+        lean = F.when(F.col("_text").isNotNull(), 1.0).otherwise(b.bare)
+        x = self._features(local).withColumns({"y": index.cast("double"), "lean": lean}).select("x", "y", "part", "w", "lean").cache()
+        self.forest = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="lean", numTrees=b.trees, maxDepth=b.depth, seed=b.seed, featureSubsetStrategy="all", maxBins=b.bins).fit(x.filter("part not in (0, 4)"))
         held = self._vote(x.filter("part in (0, 4)")).withColumn("right", (F.col("vote") == F.col("y")).cast("double"))
-        self.iso = IsotonicRegression(featuresCol="score", labelCol="right").fit(held.filter("part = 0").select("score", "right"))
-        seen = self.iso.transform(held.filter("part = 4")).agg(F.avg("right"), F.avg(F.when(F.col("prediction") >= b.sure, F.col("right"))), F.avg((F.col("prediction") >= b.sure).cast("double"))).first()
-        self.accuracy, self.sure_accuracy, self.sure_share = seen
+        self.iso = IsotonicRegression(featuresCol="score", labelCol="right", weightCol="w").fit(held.filter("part = 0").select("score", "right", "w"))
+        told = self.iso.transform(held.filter("part = 4")).withColumn("s", (F.col("prediction") >= b.sure).cast("double"))
+        total, right, sure, both = told.agg(F.sum("w"), F.sum(F.col("w") * F.col("right")), F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("s") * F.col("right"))).first()
+        self.accuracy, self.sure_share, self.sure_accuracy = right / total, sure / total, both / sure if sure else None
         x.unpersist()
         return self
 
@@ -216,12 +261,9 @@ class UnitModel:
         return voted.withColumn("score", F.array_max(p)).withColumn("vote", F.col("prediction")).drop("prediction", "rawPrediction", "probability")
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        unit = "struct<family:string,power:int>"
-        if self.forest is None:
-            return rows.withColumns({"_unit": F.lit(None).cast(unit), "_chance": F.lit(None).cast("double")})
         out = self.iso.transform(self._vote(self._features(rows))).withColumnRenamed("prediction", "_chance")
-        names = rows.sparkSession.createDataFrame([(float(i), tuple(x.split(":")[:1]) + (int(x.split(":")[1]),)) for i, x in enumerate(self.labels)], f"vote double, _unit {unit}")
-        return out.join(names, "vote", "left").select(*rows.columns, "_unit", "_chance")
+        names = F.array(*(F.struct(F.lit(n.split(":")[0]).alias("family"), F.lit(int(n.split(":")[1])).alias("power")) for n in self.labels))
+        return out.withColumn("_unit", F.get(names, F.col("vote").cast("int"))).select(*rows.columns, "_unit", "_chance")
 
 
 _RESULTS = {"value_number", "unit_family", "unit_power", "unit_source", "unit_chance", "agrees", "common_value", "needs_review"}
@@ -230,18 +272,20 @@ _RESULTS = {"value_number", "unit_family", "unit_power", "unit_source", "unit_ch
 def convert(facts: DataFrame, key: str = "fact_id", bounds: Bounds = Bounds(), model: UnitModel | None = None) -> DataFrame:
     """facts with value_number, unit_family, unit_power, unit_source, unit_chance, agrees, common_value, needs_review.
 
-    Rows whose unit field is null or unknown pass through the ensemble; unit_source tells which evidence decided.
-    Columns of facts that have names of the results, or that start with _ or x_, are left out.
+    Rows whose unit field is null or unknown pass through the ensemble; unit_source tells which evidence decided, and
+    agrees whether the words of raw_value, where they name a unit, name the one predicted. Columns of facts that have
+    names of the results, or that start with _ or x_, are left out.
     """
     facts = facts.select(*(c for c in facts.columns if c not in _RESULTS and not c.startswith(("_", "x_"))))
-    rows = parsed(facts)
-    model = model or UnitModel(bounds).fit(rows, key)
-    plain = rows.filter("_field is not null").withColumns({"_unit": F.lit(None).cast("struct<family:string,power:int>"), "_chance": F.lit(None).cast("double")})
+    rows, seen = _parsed(facts)
+    model = model or UnitModel(bounds).fit(rows, key, seen)
+    plain = rows.filter("_field is not null").withColumns({"_unit": F.lit(None).cast(_UNIT), "_chance": F.lit(None).cast("double")})
     guessed = model.predict(rows.filter("_field is null"))
     both = plain.unionByName(guessed)
-    sure = F.col("_chance") >= F.lit(bounds.sure)
-    part = lambda p: F.coalesce(F.col(f"_field.{p}"), F.col(f"_text.{p}"), F.when(sure, F.col(f"_unit.{p}")))
-    source = F.when(F.col("_field").isNotNull(), "field").when(F.col("_text").isNotNull(), "text").when(sure, "predicted").otherwise("review")
+    agrees = F.col("_unit") == F.col("_text")
+    sure = (F.col("_chance") >= F.lit(bounds.sure)) & F.coalesce(agrees, F.lit(True)) & F.col("_value").isNotNull()
+    part = lambda p: F.coalesce(F.col(f"_field.{p}"), F.when(sure, F.col(f"_unit.{p}")))
+    source = F.when(F.col("_field").isNotNull(), "field").when(sure, "predicted").otherwise("review")
     return both.select(
         *facts.columns,
         F.col("_value").alias("value_number"),
@@ -249,12 +293,18 @@ def convert(facts: DataFrame, key: str = "fact_id", bounds: Bounds = Bounds(), m
         part("power").alias("unit_power"),
         source.alias("unit_source"),
         F.col("_chance").alias("unit_chance"),
-        (F.col("_unit") == F.col("_text")).alias("agrees"),
+        agrees.alias("agrees"),
         in_common(F.col("_value"), part("family"), part("power")).alias("common_value"),
         (F.col("_value").isNotNull() & (source == "review")).alias("needs_review"),
     )
 
 
+def review_queue(converted: DataFrame, key: str = "fact_id") -> DataFrame:
+    """(key, raw_value, unit, scale, unit_chance, agrees): the values that no unit was told for with enough certainty,
+    once each."""
+    return converted.filter("needs_review").select(key, "raw_value", "unit", "scale", F.round("unit_chance", 6).alias("unit_chance"), "agrees").distinct()
+
+
 def misscaled(converted: DataFrame, key: str = "fact_id", tolerance: float = 0.001) -> DataFrame:
     """Distinct keys whose non-null normalized_value is off common_value by more than the tolerance (relative).
 

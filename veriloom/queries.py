@@ -67,6 +67,11 @@ def p4_common_values(spark: SparkSession, d: str) -> DataFrame:
     return x.join(names, "quantity", "left").select("fact_id", "raw_value", "unit", "scale", "quantity", "common_unit", F.round("common_value", 8).alias("common_value"), "unit_source", "needs_review").distinct()
 
 
+def p4_review(spark: SparkSession, d: str) -> DataFrame:
+    """The values left for review, with the chance of the unit predicted."""
+    return units.review_queue(_converted(spark, d))
+
+
 # Problem 5: schemas that drift between files
 
 
@@ -140,7 +145,7 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return refs.orphan_counts(*_references(spark, d))
 
 
-PROBLEMS = (p4_found, p4_common_values, p5_found, p5_migrations, p5_schema_versions, p5_fact_versions, p5_region_table, p5_life_table, p5_region_uncast, p5_life_uncast, p6_found, p6_counts)
+PROBLEMS = (p4_found, p4_common_values, p4_review, p5_found, p5_migrations, p5_schema_versions, p5_fact_versions, p5_region_table, p5_life_table, p5_region_uncast, p5_life_uncast, p6_found, p6_counts)
 
 
 def queries():
