@@ -132,10 +132,10 @@ class Bounds:
 
     sample: int = 20_000
     classes: int = 100
-    alike: float = 0.9
-    bare: float = 0.05
+    alike: float = 0.75
+    bare: float = 0.02
     trees: int = 12
-    depth: int = 12
+    depth: int = 14
     bins: int = 128
     features: int = 64
     sure: float = 0.9
@@ -216,7 +216,7 @@ class UnitModel:
         x = like.sparkSession.createDataFrame(rows, f"_name string, _text {_UNIT}, _value double, m int, told boolean")
         part = F.pmod(F.xxhash64(F.lit(self.b.seed), "_name", "m", "told"), F.lit(8)).cast("int")
         texts = {c: F.lit(None).cast("string") for c in _TEXTS if c in like.columns}
-        return x.withColumns({"part": part, "w": F.lit(1.0), **texts}).drop("m", "told")
+        return x.withColumns({"part": part, "w": F.lit(1.0), "lexicon": F.lit(True), **texts}).drop("m", "told")
 
     def fit(self, rows: DataFrame, key: str, seen: DataFrame | None = None) -> UnitModel:
         """seen: how many rows have each pair of units (_parsed); counted here if it isn't given."""
@@ -232,26 +232,28 @@ class UnitModel:
         quota = {True: b.sample * b.alike / max(1, alike), False: b.sample * (1 - b.alike) / max(1, len(counts) - alike)}
         share = {r["stratum"]: min(1.0, quota[r["stratum"].endswith("?")] / r["n"]) for r in counts}
         lexicon = self._lexicon(rows)
-        wanted = ["_name", "_text", "_value", "part", "w", *(c for c in _TEXTS if c in rows.columns)]
+        wanted = ["_name", "_text", "_value", "part", "w", "lexicon", *(c for c in _TEXTS if c in rows.columns)]
         local = lexicon.select(wanted)
         if share:
             of = F.element_at(F.create_map(*(F.lit(v) for kv in share.items() for v in kv)), F.col("_stratum"))
             known = rows.filter("coalesce(_field, _text) is not null and _value is not null").withColumns({"_h": F.xxhash64(F.lit(b.seed), key), "_stratum": stratum})
             kept = known.withColumn("_share", of).filter((F.pmod(F.shiftright("_h", 3), F.lit(1_000_000)) < F.col("_share") * 1_000_000))
-            local = local.unionByName(kept.withColumns({"_name": self._label(), "part": F.pmod("_h", F.lit(8)).cast("int"), "w": 1 / F.col("_share")}).select(wanted))
+            local = local.unionByName(kept.withColumns({"_name": self._label(), "part": F.pmod("_h", F.lit(8)).cast("int"), "w": 1 / F.col("_share"), "lexicon": F.lit(False)}).select(wanted))
         n = min(8, rows.sparkSession.sparkContext.defaultParallelism)
         local = cut(local.repartition(n, "_name", "_value"))
         self.labels = sorted({r["_name"] for r in local.select("_name").distinct().collect()})
         index = F.array_position(F.array(*map(F.lit, self.labels)), F.col("_name")) - 1
         # Rows with words are what the trees divide first; bare numbers share what room is left.
         lean = F.when(F.col("_text").isNotNull(), 1.0).otherwise(b.bare)
-        x = self._features(local).withColumns({"y": index.cast("double"), "lean": lean}).select("x", "y", "part", "w", "lean").cache()
+        x = self._features(local).withColumns({"y": index.cast("double"), "lean": lean}).select("x", "y", "part", "w", "lexicon", "lean").cache()
         self.forest = RandomForestClassifier(featuresCol="x", labelCol="y", weightCol="lean", numTrees=b.trees, maxDepth=b.depth, seed=b.seed, featureSubsetStrategy="all", maxBins=b.bins).fit(x.filter("part not in (0, 4)"))
         held = self._vote(x.filter("part in (0, 4)")).withColumn("right", (F.col("vote") == F.col("y")).cast("double"))
         self.iso = IsotonicRegression(featuresCol="score", labelCol="right", weightCol="w").fit(held.filter("part = 0").select("score", "right", "w"))
-        told = self.iso.transform(held.filter("part = 4")).withColumn("s", (F.col("prediction") >= b.sure).cast("double"))
+        # Measured on rows of the data; the lexicon's have no say in it.
+        told = self.iso.transform(held.filter("part = 4 and not lexicon")).withColumn("s", (F.col("prediction") >= b.sure).cast("double"))
         total, right, sure, both = told.agg(F.sum("w"), F.sum(F.col("w") * F.col("right")), F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("s") * F.col("right"))).first()
-        self.accuracy, self.sure_share, self.sure_accuracy = right / total, sure / total, both / sure if sure else None
+        if total:
+            self.accuracy, self.sure_share, self.sure_accuracy = right / total, sure / total, both / sure if sure else None
         x.unpersist()
         return self
 
