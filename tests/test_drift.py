@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from veriloom.operators import drift
 
 SCHEMA = "feed_id string, file_no int, source_file string, period_end date, payload string"
@@ -69,6 +71,25 @@ def test_one_consistent_table(spark):
     assert rows[4, "b"]["extra_fields"]["tags"] == "t" and len(rows) == 5
 
 
-def test_name_classes_follow_chains():
-    c = drift.name_classes([("a", "b"), ("b", "c"), ("x", "y")], ["c"], ["cell_ref", "cellRef"])
-    assert c["a"] == c["b"] == "c" and c["y"] == "x" and c["cellRef"] == c["cell_ref"]
+
+def test_routes_follow_chains_and_ask_other_feeds_only_without_doubt(spark):
+    one = [("f", n, f"f{n}", None, json.dumps(r)) for n, r in ((1, {"rec_key": "k", "a": 7}), (2, {"rec_key": "k", "b": 7}), (3, {"rec_key": "k", "unit": 7}), (4, {"rec_key": "k", "c": 7, "d": 1}), (5, {"rec_key": "k", "c": 7, "a": 5}))]
+    other = [("g", 1, "g1", None, '{"rec_key": "x", "b": "1", "z": "2"}'), ("h", 1, "h1", None, '{"rec_key": "x", "p": 3}'), ("h", 2, "h2", None, '{"rec_key": "x", "value": 3}'), ("i", 1, "i1", None, '{"rec_key": "x", "p": 4}'), ("i", 2, "i2", None, '{"rec_key": "x", "unit": 4}'), ("j", 1, "j1", None, '{"rec_key": "x", "p": 5}')]
+    df = spark.createDataFrame([*one, *other], SCHEMA)
+    got = {(r["feed_id"], r["file_no"], r["name"]): (r["to"], r["level"]) for r in drift.routes(df, ["value", "unit"]).filter("name <> 'rec_key'").collect()}
+    assert [got["f", n, c] for n, c in ((1, "a"), (2, "b"), (3, "unit"), (4, "c"), (5, "c"))] == [("unit", 0)] * 5
+    # A name that comes back is another stretch, and no chain of its feed leads on from it; other chains tell where it leads.
+    assert got["f", 5, "a"] == ("unit", 1) and got["g", 1, "b"] == ("unit", 1) and got["g", 1, "z"] == ("z", 2)
+    assert got["h", 1, "p"] == ("value", 0) and got["i", 1, "p"] == ("unit", 0) and got["j", 1, "p"] == ("p", 2)
+    rows = {(r["feed_id"], r["file_no"]): r for r in drift.consistent(df, ["value", "unit"]).collect()}
+    # Both fields of a record lead to one column: the chain's has it, the other stays under its own name.
+    assert rows["f", 5]["unit"] == "7" and rows["f", 5]["extra_fields"] == {"a": "5"}
+    assert rows["j", 1]["extra_fields"] == {"p": "5"}
+
+
+def test_records_without_a_key_stay_rows_of_their_own(spark):
+    df = raw(spark, {1: [{"value": 1}, {"value": 2}, {"rec_key": None, "value": 3}, {"value": 2}]})
+    assert sorted(r["value"] for r in drift.consistent(df, ["value"]).collect()) == ["1", "2", "3"]
+    ids = df.withColumn("raw_id", F.monotonically_increasing_id())
+    assert drift.consistent(ids, ["value"]).count() == 4
+    assert drift.consistent(df.limit(0), ["value"]).count() == 0 and drift.migrations(df.limit(0)).count() == 0

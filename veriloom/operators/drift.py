@@ -1,15 +1,21 @@
 """Schemas that drift between files: fingerprints, changes, migration steps and one consistent table.
 
-Input rows are records as delivered: (feed_id, file_no, source_file, period_end, payload), payload a JSON object.
-A file is a (feed_id, file_no); the file before it is the one with the next lower file_no in the feed, whatever the
-order of arrival. Rows may be delivered twice. A field is in a file if any record has it, null included; names compare
-exactly. Types are JSON's; null gives none.
-
-Changes of a file against the file before it:
-  renamed       a field gone and a field new have the same content in all records that both files hold (told by the
-                record key), at least one of them not null; both fields then count once, as renamed
-  removed/added the other fields gone and new
-  type_changed  a field in both files whose sets of types differ, both not empty
+Input rows are records as delivered: (feed_id, file_no, source_file, period_end, payload), payload a JSON object, and
+raw_id where there is one. A file is a (feed_id, file_no); the file before it is the one with the next lower file_no in
+the feed, whatever the order of arrival. Rows may be delivered twice. A field is in a file if any record has it, null
+included; names compare exactly. Types are JSON's; null gives none.
+
+registry   one pass over the payloads gives each file its fields, the fingerprint of them, its version within the feed,
+           and the fields of the file before it
+steps      only where the fingerprint differs from that of the file before, the two schemas are compared, and the
+           explicit migration steps between the two versions recorded:
+  rename     a field gone and a field new have the same content in all records that both files hold (told by the record
+             key), at least one of them not null; both fields then count once
+  default    another field gone: it gets the default, null
+  extend     another field new
+  cast       a field in both files whose sets of types differ, both not empty
+changes    the steps, read as changes: renamed, removed, added, type_changed
+consistent each file's records, sent through the chain of steps of its feed into one table
 Rows with a null feed_id or file_no belong to no order and give no change; a payload that is no JSON object has no
 fields. A feed's first file has no changes.
 """
@@ -19,107 +25,124 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veriloom.session import bounded, cut
+from veriloom.session import cut
 
 FILE = ["feed_id", "file_no"]
+# Types as bits, so that a set of them is a number: string, number, boolean, array, object.
+KINDS = ["string", "number", "boolean", "array", "object"]
 
 
-def fields(raw: DataFrame, key: str = "rec_key") -> DataFrame:
-    """One row per record and top-level field: (feed_id, file_no, rec, name, kind, content); content null for null."""
-    v = raw.filter(F.col("feed_id").isNotNull() & F.col("file_no").isNotNull()).select(*FILE, F.try_parse_json("payload").alias("doc")).filter("doc is not null and schema_of_variant(doc) like 'OBJECT%'")
-    view = v.withColumn("rec", F.expr(f"variant_get(doc, '$.{key}', 'string')"))
-    flat = view.select(*FILE, "rec", F.explode(F.expr("cast(doc as map<string, variant>)")).alias("name", "value"))
-    shape = F.schema_of_variant("value")
-    kind = (
-        F.when(F.col("value").isNull() | (shape == "VOID"), None)
-        .when(shape == "STRING", "string")
-        .when(shape == "BOOLEAN", "boolean")
-        .when(shape.startswith("ARRAY"), "array")
-        .when(shape.startswith("OBJECT"), "object")
-        .otherwise("number")
+def _records(raw: DataFrame, *columns: str) -> DataFrame:
+    """The rows that belong to a file, with their payload as a map of variants (null if it is no object)."""
+    v = raw.filter(F.col("feed_id").isNotNull() & F.col("file_no").isNotNull()).select(*FILE, *columns, F.try_parse_json("payload").alias("doc"))
+    is_object = F.schema_of_variant("doc").startswith("OBJECT")
+    return v.withColumn("m", F.when(is_object, F.expr("cast(doc as map<string, variant>)")))
+
+
+def _bit(value: Column) -> Column:
+    """The bit of a variant's type; 0 for null."""
+    shape = F.schema_of_variant(value)
+    return (
+        F.when(value.isNull() | (shape == "VOID"), 0)
+        .when(shape == "STRING", 1)
+        .when(shape == "BOOLEAN", 4)
+        .when(shape.startswith("ARRAY"), 8)
+        .when(shape.startswith("OBJECT"), 16)
+        .otherwise(2)
     )
-    return flat.select(*FILE, "rec", "name", kind.alias("kind"), F.when(kind.isNotNull(), F.to_json("value")).alias("content"))
 
 
-def file_order(raw: DataFrame) -> DataFrame:
-    """(feed_id, file_no, source_file, period_end, prior_no): one row per file and the number of the file before it."""
-    files = raw.filter(F.col("feed_id").isNotNull() & F.col("file_no").isNotNull()).groupBy(*FILE).agg(F.min("source_file").alias("source_file"), F.min("period_end").alias("period_end"))
-    return files.withColumn("prior_no", F.lag("file_no").over(Window.partitionBy("feed_id").orderBy("file_no")))
+def _kinds(bits: Column) -> Column:
+    """The names of a set of types, sorted and joined by |."""
+    return F.array_join(F.array_compact(F.array(*(F.when(bits.bitwiseAND(1 << i) != 0, k) for i, k in sorted(enumerate(KINDS), key=lambda x: x[1])))), "|")
 
 
-def file_schemas(flat: DataFrame) -> DataFrame:
-    """(feed_id, file_no, name, kinds): the sorted types of each field of each file."""
-    return flat.groupBy(*FILE, "name").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+def registry(raw: DataFrame) -> DataFrame:
+    """One row per file: (feed_id, file_no, source_file, period_end, k, columns, fingerprint, version, prior_no,
+    prior_columns, prior_fingerprint), k its place in the feed, columns a sorted list of (name, bits) structs.
+
+    The fingerprint is the SHA-256 of the sorted name:types list. The version starts at 1 and grows by one at each file
+    whose fingerprint differs from that of the file before it.
+    """
+    told = _records(raw, "source_file", "period_end")
+    flat = told.select(*FILE, "source_file", "period_end", F.explode_outer("m").alias("name", "value"))
+    per_field = flat.groupBy(*FILE, "name").agg(F.bit_or(_bit(F.col("value"))).alias("bits"), F.min("source_file").alias("source_file"), F.min("period_end").alias("period_end"))
+    entry = F.when(F.col("name").isNotNull(), F.struct("name", "bits"))
+    per_file = per_field.groupBy(*FILE).agg(F.min("source_file").alias("source_file"), F.min("period_end").alias("period_end"), F.array_sort(F.collect_list(entry)).alias("columns"))
+    spelled = F.transform("columns", lambda c: F.concat(c["name"], F.lit(":"), _kinds(c["bits"])))
+    w = Window.partitionBy("feed_id").orderBy("file_no")
+    x = per_file.withColumn("fingerprint", F.sha2(F.concat_ws(",", spelled), 256))
+    x = x.withColumns({"k": F.row_number().over(w), **{f"prior_{n}": F.lag(c).over(w) for n, c in (("no", "file_no"), ("columns", "columns"), ("fingerprint", "fingerprint"))}})
+    moved = F.coalesce((F.col("prior_fingerprint") != F.col("fingerprint")).cast("int"), F.lit(0))
+    return x.withColumn("version", (F.lit(1) + F.sum(moved).over(w)).cast("long"))
 
 
-def _presence(order: DataFrame, schema: DataFrame) -> DataFrame:
-    """Each field of each file beside the same name in the file before: (…, name, kinds, old_kinds)."""
-    following = order.filter("prior_no is not null").select("feed_id", F.col("prior_no").alias("file_no"), F.col("file_no").alias("next_no"))
-    old = schema.join(following, FILE).select("feed_id", F.col("next_no").alias("file_no"), "name", F.col("kinds").alias("old_kinds"))
-    new = schema.join(order.filter("prior_no is not null").select(*FILE), FILE)
-    return new.join(old, [*FILE, "name"], "full")
+def _differences(files: DataFrame) -> DataFrame:
+    """The files whose fingerprint differs from that of the file before: (…, gone, new, typed), lists of names."""
+    x = files.filter("prior_no is not null and fingerprint <> prior_fingerprint")
+    bits = lambda c: F.map_from_entries(c)
+    names = lambda c: F.transform(c, lambda e: e["name"])
+    x = x.withColumns({"now": bits(F.col("columns")), "was": bits(F.col("prior_columns"))})
+    typed = F.filter("columns", lambda e: (e["bits"] != 0) & (F.coalesce(F.element_at("was", e["name"]), F.lit(0)) != 0) & (F.element_at("was", e["name"]) != e["bits"]))
+    return x.select(*FILE, "source_file", "k", "prior_no", F.array_except(names(F.col("prior_columns")), names(F.col("columns"))).alias("gone"), F.array_except(names(F.col("columns")), names(F.col("prior_columns"))).alias("new"), names(typed).alias("typed"))
 
 
-def changes(raw: DataFrame, key: str = "rec_key") -> DataFrame:
-    """(feed_id, file_no, source_file, change_kind, field_name, prior_name), one row per change.
+def _renames(raw: DataFrame, differing: DataFrame, key: str) -> DataFrame:
+    """(feed_id, file_no, renamed): per file a list of (prior_name, name).
 
-    The schemas come from one pass over the records and are small. Only files that both lose and gain fields, and the
-    files before them, are read again for contents, and only for those fields.
+    Only files that both lose and gain fields, and the files before them, are read again, and only for those fields.
+    The contents of a record in both files meet in one shuffle by record, whose counts meet in one by file.
     """
-    order = file_order(raw)
-    beside = cut(_presence(order, file_schemas(fields(raw, key))))
-    gone, new = beside.filter("kinds is null").select(*FILE, "name"), beside.filter("old_kinds is null").select(*FILE, "name")
-    typed = beside.filter("size(kinds) > 0 and size(old_kinds) > 0 and kinds <> old_kinds")
-
-    both = gone.select(*FILE).distinct().join(new.select(*FILE).distinct(), FILE)
-    pair = order.select(*FILE, "prior_no").join(both, FILE)
-    here = fields(raw.join(pair.select(*FILE), FILE, "left_semi"), key).filter("rec is not null")
-    before = fields(raw.join(pair.select("feed_id", F.col("prior_no").alias("file_no")), FILE, "left_semi"), key).filter("rec is not null")
-    before = before.withColumnRenamed("file_no", "prior_no").join(pair, ["feed_id", "prior_no"]).drop("prior_no")
-    recs = [*FILE, "rec"]
-    now = here.filter("content is not null").join(new, [*FILE, "name"], "left_semi").select(*recs, "name", "content").distinct()
-    was = before.filter("content is not null").join(gone, [*FILE, "name"], "left_semi").select(*recs, F.col("name").alias("prior_name"), "content").distinct()
-    # Only records that both files hold tell.
-    now = now.join(before.select(*recs).distinct(), recs, "left_semi")
-    was = was.join(here.select(*recs).distinct(), recs, "left_semi")
-    now, was = cut(now), cut(was)
-    same = was.join(now, [*recs, "content"]).groupBy(*FILE, "prior_name", "name").agg(F.count(F.lit(1)).alias("n"))
-    n_was = was.groupBy(*FILE, "prior_name").agg(F.count(F.lit(1)).alias("n_was"))
-    n_now = now.groupBy(*FILE, "name").agg(F.count(F.lit(1)).alias("n_now"))
-    agreed = same.join(n_was, [*FILE, "prior_name"]).join(n_now, [*FILE, "name"]).filter("n = n_was and n = n_now")
+    both = differing.filter("size(gone) > 0 and size(new) > 0")
+    side = lambda no, names, now: both.select("feed_id", F.col(no).alias("file_no"), F.col("file_no").alias("at_no"), F.col(names).alias("names"), F.lit(now).alias("now"))
+    reads = side("file_no", "new", True).unionByName(side("prior_no", "gone", False))
+    found = _records(raw).withColumn("rec", F.expr(f"variant_get(doc, '$.{key}', 'string')")).filter("rec is not null").join(reads, FILE)
+    cells = F.transform(F.col("names"), lambda n: F.struct(F.col("now"), n.alias("name"), F.to_json(F.when(_bit(F.element_at("m", n)) != 0, F.element_at("m", n))).alias("content")))
+    held = found.select("feed_id", "at_no", "rec", "now", F.explode(cells).alias("cell"))
+    rec = held.groupBy("feed_id", "at_no", "rec").agg(F.bool_or("now").alias("n"), F.bool_or(~F.col("now")).alias("w"), F.collect_set(F.when(F.col("cell.content").isNotNull(), F.col("cell"))).alias("cells"))
+    rec = rec.filter("n and w").withColumns({"a": F.filter("cells", lambda c: ~c["now"]), "b": F.filter("cells", lambda c: c["now"])})
+    vote = lambda a, b: F.struct(a.alias("prior_name"), b.alias("name"))
+    none = F.lit(None).cast("string")
+    same = F.flatten(F.transform("a", lambda x: F.transform(F.filter("b", lambda y: y["content"] == x["content"]), lambda y: vote(x["name"], y["name"]))))
+    votes = F.concat(F.transform("a", lambda x: vote(x["name"], none)), F.transform("b", lambda y: vote(none, y["name"])), same)
+    counted = rec.select("feed_id", "at_no", F.explode(votes).alias("v")).groupBy("feed_id", "at_no", "v.prior_name", "v.name").agg(F.count(F.lit(1)).alias("n"))
+    per = counted.groupBy("feed_id", "at_no").agg(F.collect_list(F.struct("prior_name", "name", "n")).alias("v"))
+    agreed = F.filter("v", lambda x: x["prior_name"].isNotNull() & x["name"].isNotNull() & ~F.exists("v", lambda y: (y["n"] != x["n"]) & ((y["prior_name"].isNull() & (y["name"] == x["name"])) | (y["name"].isNull() & (y["prior_name"] == x["prior_name"])))))
     # Should several fields agree, the smallest names pair up, each used once.
-    by_old, by_new = Window.partitionBy(*FILE, "prior_name").orderBy("name"), Window.partitionBy(*FILE, "name").orderBy("prior_name")
-    renamed = cut(agreed.withColumn("a", F.row_number().over(by_old)).withColumn("b", F.row_number().over(by_new)).filter("a = b").select(*FILE, "name", "prior_name"))
-
-    kind = lambda df, k, prior: df.select(*FILE, F.lit(k).alias("change_kind"), F.col("name").alias("field_name"), prior.alias("prior_name"))
+    less = lambda one, other: lambda x: F.size(F.filter("agreed", lambda y: (y[one] == x[one]) & (y[other] < x[other])))
+    once = F.filter("agreed", lambda x: less("prior_name", "name")(x) == less("name", "prior_name")(x))
+    return per.withColumn("agreed", agreed).select("feed_id", F.col("at_no").alias("file_no"), F.transform(once, lambda x: F.struct(x["prior_name"], x["name"])).alias("renamed"))
+
+
+def steps(raw: DataFrame, key: str = "rec_key", files: DataFrame | None = None) -> DataFrame:
+    """The recorded migration steps: (feed_id, file_no, source_file, k, step, field_name, prior_name)."""
+    files = cut(registry(raw)) if files is None else files
+    differing = _differences(files)
+    x = differing.join(_renames(raw, differing, key), FILE, "left").withColumn("renamed", F.coalesce("renamed", F.array().cast("array<struct<prior_name:string,name:string>>")))
+    left = lambda names, part: F.array_except(names, F.transform("renamed", lambda r: r[part]))
+    step = lambda kind, name, prior: F.struct(F.lit(kind).alias("step"), name.alias("field_name"), prior.alias("prior_name"))
     none = F.lit("")
-    out = (
-        kind(renamed, "renamed", F.col("prior_name"))
-        .unionByName(kind(gone.join(renamed.select(*FILE, F.col("prior_name").alias("name")), [*FILE, "name"], "left_anti"), "removed", none))
-        .unionByName(kind(new.join(renamed.select(*FILE, "name"), [*FILE, "name"], "left_anti"), "added", none))
-        .unionByName(kind(typed, "type_changed", none))
+    all_steps = F.concat(
+        F.transform("renamed", lambda r: step("rename", r["name"], r["prior_name"])),
+        F.transform(left(F.col("gone"), "prior_name"), lambda n: step("default", n, none)),
+        F.transform(left(F.col("new"), "name"), lambda n: step("extend", n, none)),
+        F.transform("typed", lambda n: step("cast", n, none)),
     )
-    return out.join(order.select(*FILE, "source_file"), FILE).select(*FILE, "source_file", "change_kind", "field_name", "prior_name")
+    return x.select(*FILE, "source_file", "k", F.explode(all_steps).alias("s")).select(*FILE, "source_file", "k", "s.*")
 
 
-def schema_versions(raw: DataFrame, key: str = "rec_key") -> DataFrame:
-    """Per file: the fingerprint of its schema, the version it has within its feed and the number of fields.
+_CHANGE = {"rename": "renamed", "default": "removed", "extend": "added", "cast": "type_changed"}
 
-    The fingerprint is the SHA-256 of the sorted name:types list. The version starts at 1 and grows by one at each
-    file whose fingerprint differs from that of the file before it.
-    """
-    per = file_schemas(fields(raw, key)).groupBy(*FILE).agg(
-        F.array_sort(F.collect_list(F.concat("name", F.lit(":"), F.concat_ws("|", "kinds")))).alias("columns")
-    )
-    w = Window.partitionBy("feed_id").orderBy("file_no")
-    return (
-        file_order(raw)
-        .join(per, FILE, "left")
-        .withColumn("fingerprint", F.sha2(F.concat_ws(",", "columns"), 256))
-        .withColumn("changed", (F.lag("fingerprint").over(w) != F.col("fingerprint")).cast("int"))
-        .withColumn("version", F.lit(1) + F.coalesce(F.sum("changed").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
-        .select(*FILE, "source_file", "period_end", "fingerprint", "version", F.coalesce(F.size("columns"), F.lit(0)).alias("n_fields"))
-    )
+
+def changes(raw: DataFrame, key: str = "rec_key") -> DataFrame:
+    """(feed_id, file_no, source_file, change_kind, field_name, prior_name): the recorded steps, read as changes."""
+    kind = F.element_at(F.create_map(*(F.lit(v) for kv in _CHANGE.items() for v in kv)), F.col("step"))
+    return steps(raw, key).select(*FILE, "source_file", kind.alias("change_kind"), "field_name", "prior_name")
+
+
+def schema_versions(raw: DataFrame) -> DataFrame:
+    """Per file: the fingerprint of its schema, the version it has within its feed and the number of fields."""
+    return registry(raw).select(*FILE, "source_file", "period_end", "fingerprint", "version", F.size("columns").alias("n_fields"))
 
 
 def unified_version(spelled: Column) -> Column:
@@ -138,39 +161,55 @@ def delivered_versions(raw: DataFrame, kind: str, spelled: Column) -> DataFrame:
 
 def migrations(raw: DataFrame, key: str = "rec_key") -> DataFrame:
     """The explicit steps from each file's schema to the next: rename, drop, default (null) and cast, in that order."""
-    step = F.when(F.col("change_kind") == "renamed", "rename").when(F.col("change_kind") == "removed", "default").when(F.col("change_kind") == "added", "extend").otherwise("cast")
-    rank = F.when(step == "rename", 1).when(step == "default", 2).when(step == "extend", 3).otherwise(4)
+    rank = F.array_position(F.array(*map(F.lit, _CHANGE)), F.col("step"))
     w = Window.partitionBy(*FILE).orderBy(rank, "field_name", "prior_name")
-    return changes(raw, key).select(*FILE, "source_file", F.row_number().over(w).alias("step_no"), step.alias("step"), "field_name", "prior_name")
+    return steps(raw, key).select(*FILE, "source_file", F.row_number().over(w).alias("step_no"), "step", "field_name", "prior_name")
 
 
-def name_classes(edges: list[tuple[str, str]], wanted: list[str], names: list[str] = ()) -> dict[str, str]:
-    """Field name -> the name it has in the consistent table, following chains of renames in either direction.
+def routes(raw: DataFrame, wanted: list[str], key: str = "rec_key") -> DataFrame:
+    """Where the field of each file goes: (feed_id, file_no, name, bits, to, level).
 
-    Names that a chain of renames joins form one class, as do names that differ in case and separators only. A class takes the first of `wanted` that it holds, else its
-    smallest name. The edges are distinct pairs of field names, so their number depends on the vocabulary of the
-    schemas and not on the rows.
+    A field's stretch is a run of files, one after the other, that hold its name; rename steps join stretches of a feed
+    into chains. A field goes to the wanted name (the first of `wanted`, should there be several) that its chain holds
+    (level 0). Should it hold none, the chains that share a name with it are asked, of other feeds too: if all of them
+    that lead to a wanted name lead to the same one, that is taken (level 1), and further chains may ask this one. Else
+    the field keeps the last name of its chain (level 2).
+    Chains are followed by pointer doubling, so their length doesn't count, and no feed is gathered in one place.
     """
-    parent: dict[str, str] = {}
-
-    def root(x: str) -> str:
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        parent[root(a)] = root(b)
-    plain_names: dict[str, str] = {}
-    for x in sorted({*names, *wanted, *(n for e in edges for n in e)}):
-        k = "".join(c for c in x.lower() if c.isalnum())
-        parent[root(x)] = root(plain_names.setdefault(k, x))
-    groups: dict[str, list[str]] = {}
-    for x in list(parent):
-        groups.setdefault(root(x), []).append(x)
-    rank = {n: i for i, n in enumerate(wanted)}
-    return {x: min(g, key=lambda n: (rank.get(n, len(rank)), n)) for g in groups.values() for x in g}
+    files = cut(registry(raw))
+    held = files.select("feed_id", "file_no", "k", F.explode("columns").alias("c")).select("feed_id", "file_no", "k", "c.name", "c.bits")
+    by_name = Window.partitionBy("feed_id", "name").orderBy("k")
+    ident = lambda name, k: F.concat_ws("\x01", "feed_id", name, k)
+    held = cut(held.withColumn("gap", F.coalesce(F.lag("k").over(by_name), F.lit(-1)) != F.col("k") - 1).withColumn("start", F.max(F.when(F.col("gap"), F.col("k"))).over(by_name.rowsBetween(Window.unboundedPreceding, 0))).withColumn("id", ident("name", "start")).drop("gap"))
+    renames = steps(raw, key, files).filter("step = 'rename'").select("feed_id", "k", "prior_name", F.col("field_name").alias("name"))
+    before = held.select("feed_id", (F.col("k") + 1).alias("k"), F.col("name").alias("prior_name"), "id")
+    following = cut(renames.join(before, ["feed_id", "k", "prior_name"]).select("id", ident("name", "k").alias("next")))
+    ends = following.select(F.col("next").alias("id"), F.col("next").alias("next"))
+    pointers = cut(following.unionByName(ends.join(following.select("id"), "id", "left_anti")))
+    while True:
+        jump = pointers.select(F.col("id").alias("next"), F.col("next").alias("further"))
+        moved = cut(pointers.join(jump, "next").select("id", F.col("further").alias("next"), (F.col("further") != F.col("next")).alias("moved")))
+        pointers = moved.drop("moved")
+        if not moved.filter("moved").limit(1).count():
+            break
+    told = held.select("id", "name").distinct().join(pointers, "id", "left").select("id", "name", F.coalesce("next", "id").alias("chain"))
+    last = F.element_at(F.split("chain", "\x01"), -2)
+    rank = F.array_position(F.array(*map(F.lit, wanted or [""])), F.col("name"))
+    chains = told.groupBy("chain").agg(F.min_by("name", F.when(rank > 0, rank)).alias("own"), F.collect_set("name").alias("names"))
+    chains = cut(chains)
+    # Rounds of asking, until no further chain learns where it leads; each settles at least one name of the vocabulary.
+    settled = chains.filter("own is not null").select("chain", "names", F.col("own").alias("to"), F.lit(0).alias("level"))
+    open_ = chains.filter("own is null").select("chain", "names")
+    while True:
+        votes = settled.select(F.explode("names").alias("name"), "to").distinct()
+        asked = open_.select("chain", F.explode("names").alias("name")).join(votes, "name").groupBy("chain").agg(F.min("to").alias("to"), F.max("to").alias("b")).filter("to = b").select("chain", "to")
+        learnt = cut(open_.join(asked, "chain").select("chain", "names", "to", F.lit(1).alias("level")))
+        if not learnt.limit(1).count():
+            break
+        settled = settled.unionByName(learnt)
+        open_ = open_.join(learnt.select("chain"), "chain", "left_anti")
+    goal = told.join(settled.select("chain", "to", "level"), "chain", "left").select("id", F.coalesce("to", last).alias("to"), F.coalesce("level", F.lit(2)).alias("level"))
+    return held.join(goal, "id").select(*FILE, "name", "bits", "to", "level")
 
 
 def plain(kind: Column, content: Column) -> Column:
@@ -197,48 +236,48 @@ def typed(text: Column, kind: str) -> Column:
     return F.when(value == whole, value)
 
 
-def consistent(raw: DataFrame, wanted: list[str] | dict[str, str], key: str = "rec_key", most_names: int = 100_000) -> DataFrame:
+def consistent(raw: DataFrame, wanted: list[str] | dict[str, str], key: str = "rec_key") -> DataFrame:
     """All files as one table: (feed_id, file_no, source_file, schema_version, rec, one column per wanted field,
-    extra_fields, uncast_fields), one row per file and record.
-
-    `wanted` gives each field its target type; in a list all are text. Each field goes through the chained renames
-    (name_classes), then the cast rule (plain, typed); a wanted field that a file lacks gets the default null. Fields
-    outside `wanted` keep their class name in the map extra_fields, those that are numbers in any record without
-    thousands commas; what can't be cast keeps its text in the map uncast_fields, so that nothing is lost. If a file
-    holds a record twice with different content, the greatest content wins.
+    extra_fields, uncast_fields), one row per file and distinct delivered record.
+
+    `wanted` gives each field its target type; in a list all are text. Each file's fields go along their routes (the
+    chained renames), then through the cast rule (plain, typed); a wanted field that a file lacks gets the default null.
+    Other fields stay in the map extra_fields under the name they lead to, those that are numbers in any record without
+    thousands commas; what can't be cast keeps its text in the map uncast_fields. Should two fields of a record lead to
+    one column, the one of the lower level and then the smaller name takes it, and the other stays in extra_fields under
+    its own name, so nothing is lost. A record delivered twice (same raw_id, or same payload where there is none) counts
+    once; records without a key are rows of their own.
     """
     kinds = wanted if isinstance(wanted, dict) else dict.fromkeys(wanted, "string")
     wanted = list(kinds)
-    edges = changes(raw, key).filter("change_kind = 'renamed'").select("prior_name", "field_name").distinct().limit(most_names + 1).collect()
-    if len(edges) > most_names:
-        raise ValueError(f"more than {most_names} distinct renames: the schemas don't describe one kind of record")
-    flat = fields(raw, key).filter(F.col("name") != key)
-    names = bounded(flat.groupBy("name").agg(F.coalesce(F.bool_or(F.col("kind") == "number"), F.lit(False)).alias("number")), most_names)
-    if names is None:
-        raise ValueError(f"more than {most_names} distinct field names: the payloads don't describe one kind of record")
-    named = name_classes([tuple(e) for e in edges], wanted, [r[0] for r in names])
-    numbers = {named.get(r[0], r[0]) for r in names if r[1]}
-    classes = {a: b for a, b in named.items() if a != b}
-    name = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in classes.items() for x in kv)), F.col("name")), F.col("name")) if classes else F.col("name")
-    flat = flat.withColumn("to", name)
-    cell = flat.filter("content is not null").groupBy(*FILE, "rec", "to").agg(F.max(plain(F.col("kind"), F.col("content"))).alias("text"))
-    # Records that hold nothing but nulls keep their row.
-    rows = flat.select(*FILE, "rec").distinct()
-    wide = cell.groupBy(*FILE, "rec").agg(F.map_from_entries(F.collect_list(F.struct("to", "text"))).alias("m"))
-    versions = schema_versions(raw, key).select(*FILE, "source_file", F.col("version").alias("schema_version"))
-    kept = F.map_filter("m", lambda k, _: ~k.isin(*wanted)) if wanted else F.col("m")
-    if numbers - set(wanted):
-        kept = F.transform_values(kept, lambda k, v: F.when(k.isin(*sorted(numbers - set(wanted))), ungrouped(v)).otherwise(v))
+    way = routes(raw, wanted, key).filter(F.col("name") != key)
+    number = F.col("bits").bitwiseAND(2) != 0
+    numbers = way.groupBy("to").agg(F.bool_or(number).alias("number"))
+    way = way.join(numbers, "to")
+    per_file = way.groupBy(*FILE).agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("to", "level", "number")))).alias("way"))
+    versions = registry(raw).select(*FILE, F.col("source_file").alias("_file"), F.col("version").alias("schema_version"))
+    own = [c for c in ("raw_id",) if c in raw.columns]
+    once = raw.dropDuplicates([*FILE, *own, "payload"])
+    x = _records(once).filter("m is not null").withColumn("rec", F.expr(f"variant_get(doc, '$.{key}', 'string')")).join(per_file, FILE, "left").join(versions, FILE)
+
+    def cell(e: Column) -> Column:
+        bit = _bit(e["value"])
+        kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.log2(bit) + 1).cast("int"))
+        to = F.element_at("way", e["key"])
+        return F.struct(to["level"].alias("level"), e["key"].alias("name"), to["to"].alias("to"), to["number"].alias("number"), plain(kind, F.to_json(e["value"])).alias("text"))
+
+    told = F.filter(F.map_entries("m"), lambda e: (e["key"] != key) & (_bit(e["value"]) != 0))
+    x = x.withColumn("cells", F.array_sort(F.transform(told, cell)))
+    x = x.select(*FILE, F.col("_file").alias("source_file"), "schema_version", "rec", F.filter("cells", lambda c: c["text"].isNotNull()).alias("cells"))
+    # The first cell of each goal, in the order of level and name, has it; later ones keep their own name.
+    x = x.withColumn("cells", F.transform("cells", lambda c, i: F.struct(F.when(F.exists(F.slice("cells", F.lit(1), i), lambda o: o["to"] == c["to"]), c["name"]).otherwise(c["to"]).alias("key"), F.when(c["number"] & ~c["to"].isin(*wanted), ungrouped(c["text"])).otherwise(c["text"]).alias("value"), (c["to"].isin(*wanted) & ~F.exists(F.slice("cells", F.lit(1), i), lambda o: o["to"] == c["to"])).alias("wanted"))))
+    entries = lambda wanted_: F.map_from_entries(F.transform(F.filter("cells", lambda c: c["wanted"] == F.lit(wanted_)), lambda c: F.struct(c["key"], c["value"])))
+    x = x.select(*FILE, "source_file", "schema_version", "rec", entries(True).alias("m"), entries(False).alias("extra_fields"))
     bad = [w for w in wanted if kinds[w] != "string"]
     at = lambda w: F.element_at("m", w)
     # map_filter leaves the fields whose text is there and has no value of the target type.
     failed = F.map_filter("m", lambda k, v: F.coalesce(*(F.when(k == w, v.isNotNull() & typed(v, kinds[w]).isNull()) for w in bad), F.lit(False))) if bad else F.map_filter("m", lambda k, v: F.lit(False))
-    return (
-        rows.join(wide, (rows.feed_id == wide.feed_id) & (rows.file_no == wide.file_no) & rows.rec.eqNullSafe(wide.rec), "left")
-        .select(rows.feed_id, rows.file_no, rows.rec, "m")
-        .join(versions, FILE)
-        .select(*FILE, "source_file", "schema_version", "rec", *(typed(at(w), kinds[w]).alias(w) for w in wanted), kept.alias("extra_fields"), failed.alias("uncast_fields"))
-    )
+    return x.select(*FILE, "source_file", "schema_version", "rec", *(typed(at(w), kinds[w]).alias(w) for w in wanted), "extra_fields", failed.alias("uncast_fields"))
 
 
 def cast_failures(table: DataFrame) -> DataFrame:

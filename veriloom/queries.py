@@ -23,7 +23,7 @@ r as (select 'table_facts' table_name, fact_id record_id, 'evidence_id' field_na
  union all select 'table_facts', fact_id, 'document_id', 'document_id', document_id, created_at, strftime(period_end, '%Y-%m') from table_facts union all select 'table_facts', fact_id, 'source_id', 'source_id', source_id, created_at, strftime(period_end, '%Y-%m') from table_facts
  union all select 'parent_chunks', parent_chunk_id, 'evidence_ids', 'evidence_id', unnest(evidence_ids), created_at, strftime(created_at, '%Y-%m') from parent_chunks),
 x as (select r.*, case when t.id is null then 'missing' when t.del then 'deleted' when t.since > r.created_at then 'late' end reason from r left join t on t.f = r.f and t.id = r.ref_id where r.ref_id is not null)"""
-_DRIFT = """with r as (select distinct feed_id, file_no, cast(payload as json) p, json_extract_string(payload, '$.rec_key') rec from raw_records where feed_id is not null and file_no is not null),
+_DRIFT_STEPS = """with r as (select distinct feed_id, file_no, cast(payload as json) p, json_extract_string(payload, '$.rec_key') rec from raw_records where feed_id is not null and file_no is not null),
 fl as (select feed_id, file_no, min(source_file) source_file, lag(file_no) over (partition by feed_id order by file_no) prior_no from raw_records where feed_id is not null and file_no is not null group by 1, 2),
 k as (select feed_id, file_no, rec, p, unnest(json_keys(p)) "name" from r),
 v as (select feed_id, file_no, rec, "name", case json_type(p, '$."' || "name" || '"') when 'NULL' then null when 'VARCHAR' then 'string' when 'BOOLEAN' then 'boolean' when 'ARRAY' then 'array' when 'OBJECT' then 'object' else 'number' end kind, cast(json_extract(p, '$."' || "name" || '"') as varchar) c from k),
@@ -39,10 +39,20 @@ e as (select m.* from m where c = (select count(*) from w where w.feed_id = m.fe
 d as (select feed_id, file_no, 'renamed' change_kind, "name" field_name, prior_name from e
  union all select feed_id, file_no, 'removed', "name", '' from b where new is null and not exists (select 1 from e where e.feed_id = b.feed_id and e.file_no = b.file_no and e.prior_name = b."name")
  union all select feed_id, file_no, 'added', "name", '' from b where old is null and not exists (select 1 from e where e.feed_id = b.feed_id and e.file_no = b.file_no and e."name" = b."name")
- union all select feed_id, file_no, 'type_changed', "name", '' from b where len(old) > 0 and len(new) > 0 and old <> new)
+ union all select feed_id, file_no, 'type_changed', "name", '' from b where len(old) > 0 and len(new) > 0 and old <> new)"""
+_DRIFT = f"""{_DRIFT_STEPS}
 select distinct fl.source_file, change_kind, field_name, prior_name from d join fl on fl.feed_id = d.feed_id and fl.file_no = d.file_no"""
+_MIGRATIONS = f"""{_DRIFT_STEPS}, st as (select *, case change_kind when 'renamed' then 1 when 'removed' then 2 when 'added' then 3 else 4 end o from d)
+select st.feed_id, st.file_no, fl.source_file, cast(row_number() over (partition by st.feed_id, st.file_no order by o, field_name, prior_name) as integer) step_no, ['rename','default','extend','cast'][o] step, field_name, prior_name from st join fl on fl.feed_id = st.feed_id and fl.file_no = st.file_no"""
+_UNIFIED = r"nullif(regexp_replace(regexp_replace(regexp_replace(upper(trim(schema_version)), '[-\s.]+', '_', 'g'), '^V?_?([0-9]+)(_0+)*$', 'V\1'), '^V?_?([0-9]+)_((?:19|20)[0-9]{2})$', 'V\1_\2'), '')"
+_VERSIONS = f"""{_DRIFT_STEPS}, fp as (select fl.feed_id, fl.file_no, fl.source_file, sha256(coalesce(string_agg(s."name" || ':' || array_to_string(s.kinds, '|'), ',' order by s."name"), '')) fingerprint, count(s."name") n_fields from fl left join s on s.feed_id = fl.feed_id and s.file_no = fl.file_no group by 1, 2, 3),
+ch as (select *, coalesce(cast(lag(fingerprint) over (partition by feed_id order by file_no) <> fingerprint as integer), 0) c from fp),
+pe as (select feed_id, file_no, min(period_end) period_end, list_sort(coalesce(list(distinct {_UNIFIED}) filter ({_UNIFIED} is not null), [])) delivered_schema_versions, count(*) filter ({_UNIFIED} is null) n_no_schema_version from raw_records group by 1, 2)
+select ch.feed_id, ch.file_no, source_file, period_end, fingerprint, cast(1 + sum(c) over (partition by ch.feed_id order by ch.file_no) as bigint) "version", cast(n_fields as integer) n_fields, delivered_schema_versions, n_no_schema_version from ch join pe on pe.feed_id = ch.feed_id and pe.file_no = ch.file_no"""
 SQL: dict[str, str] = {
     "p5_found": _DRIFT,
+    "p5_migrations": _MIGRATIONS,
+    "p5_schema_versions": _VERSIONS,
     "p6_found": f"{_REFS} select distinct table_name, record_id, field_name, ref_id, reason from x where reason is not null",
     "p6_counts": f"""{_REFS} select table_name, field_name, period, count(*) n_refs, count(*) filter (reason = 'missing') n_missing, count(*) filter (reason = 'deleted') n_deleted, count(*) filter (reason = 'late') n_late,
  count(distinct ref_id) filter (reason is not null) n_orphan_ids, round(count(*) filter (reason is not null) / count(*), 6) orphan_share from x group by 1, 2, 3""",
@@ -76,7 +86,7 @@ def p4_review(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _raw(spark: SparkSession, d: str, dataset: str | None = None) -> DataFrame:
-    df = table(spark, d, "raw_records", "feed_id", "file_no", "source_file", "period_end", "payload", "dataset")
+    df = table(spark, d, "raw_records", *(["raw_id", "dataset"] if dataset else []), "feed_id", "file_no", "source_file", "period_end", "payload")
     return (df.filter(F.col("dataset") == dataset) if dataset else df).drop("dataset")
 
 
