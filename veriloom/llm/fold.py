@@ -21,11 +21,13 @@ import unicodedata
 from collections.abc import Iterable
 
 # Letters that look like a Latin letter, by script.
-GREEK_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΊΌΆΈΉΎϹϳανοριυχίόϲ", "ABEZHIKMNOPTYXÍÓÁÉHÝCjavopiuxíóc"))
-CYRILLIC_LATIN = dict(zip("АВЕКМНОРСТУХІЈЅҺԀԚԜҮӀаеорсухіјѕһԁԛԝѵүӏ", "ABEKMHOPCTYXIJSHDQWYIaeopcyxijshdqwvyl"))
-LATIN_VARIANTS = dict(zip("ɑɡıȷʏɩ", "agijyi"))
+GREEK_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧΊΌΆΈΉΎϹϳανοριυχίόϲγκσηω", "ABEZHIKMNOPTYXÍÓÁÉHÝCjavopiuxíócykonw"))
+CYRILLIC_LATIN = dict(zip("АВЕКМНОРСТУХІЈЅҺԀԚԜҮӀаеорсухіјѕһԁԛԝѵүӏкгп", "ABEKMHOPCTYXIJSHDQWYIaeopcyxijshdqwvylkrn"))
+LATIN_VARIANTS = dict(zip("ɑɡıȷʏɩʋᴀʙᴄᴅᴇɢʜᴊᴋʟᴍɴᴏᴘʀꜱᴛᴜᴠᴡᴢ", "agijyivabcdeghjklmnoprstuvwz"))
+ARMENIAN_LATIN = dict(zip("ՕՍՏօսոհցզյ", "OUSounhgqj".replace(" ", "")))
+CHEROKEE_LATIN = dict(zip("ᎪᏴᏟᎠᎬᏀᎻᏆᎫᏦᏞᎷᎾᎤᏢᏒᏚᎢᏙᎳᎩᏃ", "ABCDEGHIJKLMNOPRSTVWYZ"))
 # Katakana and radicals that look like a Han character.
-HAN = dict(zip("エカニロハトタチオヒムミメ", "工力二口八卜夕千才匕厶三乂")) | dict(
+HAN = dict(zip("エカニロハトタチオヒムミメーセヌリヨワ", "工力二口八卜夕千才匕厶三乂一七又刂彐冖")) | dict(zip("ㄅㄈㄏㄔㄙㄚㄠㄡㄤㄦㄧㄨㄩㄖ", "勹匚厂彳厶丫幺又尢儿一乂凵日")) | dict(
     zip("⺀⺄⺆⺈⺊⺋⺌⺍⺎⺐⺒⺓⺔⺕⺖⺗⺘⺙⺛⺜⺝⺞⺟⺠⺡⺢⺣⺤⺥⺦⺨⺩⺪⺫⺬⺭⺮⺯⺱⺲⺳⺵⺶⺷⺸⺹⺺⺻⺼⺽⺾⺿", "丶乙冂刀卜卩小小兀尢巳幺彑彐忄心扌攵旡日月歺母民氵氺灬爫爫丬犭王疋目示礻竹糹网罒罓网羊羊羋耂肀聿肉臼艹艹")
 ) | dict(zip("⻁⻂⻃⻄⻅⻆⻇⻈⻉⻊⻋⻌⻍⻎⻏⻑⻒⻓⻔⻕⻖⻗⻘⻙⻚⻛⻜⻝⻟⻠⻡⻢⻣⻤⻥⻦⻧⻨⻩⻪⻫⻬⻭⻮⻯⻰⻱⻲", "虎衤覀西见角角讠贝足车辶辶辶邑長镸长门阜阝雨青韦页风飞食飠饣首马骨鬼鱼鸟卤麦黄黾斉齐歯齿竜龙龜亀"))
 #: Forms that compatibility normalisation leaves beside the usual character.
@@ -60,6 +62,7 @@ def _script(ch: str) -> str:
     return "other"
 
 
+_OTHER_LATIN = LATIN_VARIANTS | ARMENIAN_LATIN | CHEROKEE_LATIN
 _TO = {"latin": GREEK_LATIN | CYRILLIC_LATIN}
 # The other way round: a Latin (or sister) letter in a Greek or Cyrillic word.
 _TO["greek"] = {v: k for k, v in reversed(GREEK_LATIN.items())} | {"ɑ": "α", "a": "α"} | {c: g for c, l in CYRILLIC_LATIN.items() for g, m in GREEK_LATIN.items() if l == m}
@@ -110,7 +113,7 @@ def _unlike(text: str, vocabulary: frozenset[str]) -> str:
             if mixed and table:
                 w = "".join(table.get(ch, ch) if _script(ch) != s else ch for ch in w)
             if s == "latin":
-                w = "".join(LATIN_VARIANTS.get(ch, ch) for ch in w)
+                w = "".join(_OTHER_LATIN.get(ch, ch) for ch in w)
         out.append(w)
     out.append(text[at:])
     text = "".join(out)

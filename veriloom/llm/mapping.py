@@ -4,7 +4,9 @@ Per distinct value, never per row: the value is folded (see fold), stripped of l
 tokens. Each distinct token is joined to the vocabulary of the reference list by edit distance: a deletion
 neighbourhood of the vocabulary, looked up by hash, gives the candidates within one or two edits, so no token meets
 the whole vocabulary; tokens glued together or cut apart are repaired by segmentation. Abbreviations join by prefix or
-as a subsequence with the same first letter. The corrected tokens of a value then rank the complete entries by soft
+as a subsequence with the same first letter, among the words that an index by first and second letter gives. A Han
+character that the vocabulary doesn't hold is repaired by the pairs it forms with its neighbours: vocabulary pairs that
+differ from them in that character. The corrected tokens of a value then rank the complete entries by soft
 TF-IDF: a token of an entry counts with its weight times the likeness of the value's token that repairs to it. Han
 names, written without blanks, take their characters as tokens. The likeness of the whole strings (edit distance with
 transpositions) settles what the bag of tokens can't, and the best entry is taken if it is like enough and leads the
@@ -42,6 +44,8 @@ FILLERS = {
     "有限公司", "股份有限公司", "股份公司", "公司", "总部", "集团", "分公司", "市", "省", "地区", "辖区", "小计", "项目", "合计", "本期", "累计", "注", "其中",
 }
 _HANRUN = re.compile(r"[㐀-鿿]")
+#: Repairs that a worker keeps; beyond that it starts anew.
+_KEPT = 200_000
 
 
 @dataclass(frozen=True)
@@ -141,6 +145,18 @@ class Kind:
         n = len(self.forms)
         self.idf = {tok: math.log(1 + n / c) for tok, c in df.items()}
         self.words = sorted(w for w in df if not _HANRUN.match(w))
+        #: Words by first letter and a later one, where an abbreviation looks for what it may stand for.
+        self.starts: dict[tuple[str, str], list[str]] = {}
+        for w in self.words:
+            for x in set(w[1:]):
+                self.starts.setdefault((w[0], x), []).append(w)
+        #: Han characters by the neighbour before (1) and after (-1) them: the pairs of the vocabulary, one character open.
+        self.beside: dict[tuple[int, str], set[str]] = {}
+        for _, _, toks in self.forms:
+            for a, b in zip(toks, toks[1:]):
+                if _HANRUN.match(a) and _HANRUN.match(b):
+                    self.beside.setdefault((1, a), set()).add(b)
+                    self.beside.setdefault((-1, b), set()).add(a)
         self.near: dict[str, list[str]] = {}
         for w in self.words:
             for x in _deletions(w, 2 if len(w) > 4 else 1):
@@ -175,9 +191,20 @@ class Kind:
         """The vocabulary words that a token may stand for, with their likeness; kept per distinct token."""
         known = self.repaired.get(token)
         if known is None:
+            if len(self.repaired) >= _KEPT:
+                self.repaired.clear()
             known = self.repaired[token] = self._repair(token)
         return known
 
+    def repair_beside(self, before: str, token: str, after: str) -> dict[str, float]:
+        """The same for a Han character that the vocabulary doesn't hold, whose pairs with its neighbours are joined to
+        the pairs of the vocabulary by one exchange: a character that both pairs allow, or one of them."""
+        known = self.repair(token)
+        if known or not _HANRUN.match(token):
+            return known
+        left, right = self.beside.get((1, before), set()), self.beside.get((-1, after), set())
+        return {w: 0.75 if w in left and w in right else 0.4 for w in left | right}
+
     def _repair(self, token: str) -> dict[str, float]:
         if token in self.idf:
             return {token: 1.0}
@@ -190,9 +217,9 @@ class Kind:
                     d = distance(token, w, 2)
                     if d <= (1 if len(w) <= 4 else 2):
                         out[w] = max(out.get(w, 0), 1 - d / (max(len(w), len(token)) + 1))
-        for w in self.words:
+        for w in self.starts.get((token[0], token[1]), ()) if len(token) > 1 else ():
             # An abbreviation starts like its word and keeps the order of its letters.
-            if 2 <= len(token) < len(w) and token[0] == w[0] and w not in out:
+            if len(token) < len(w) and w not in out:
                 if w.startswith(token):
                     out[w] = 0.86
                 else:
@@ -246,8 +273,8 @@ class Kind:
         found: list[tuple[float, float, float, str, str, str, str]] = []
         for view, told_share in views:
             links: dict[str, float] = {}
-            for tok in view:
-                for w, s in self.repair(tok).items():
+            for before, tok, after in zip(["", *view], view, [*view[1:], ""]):
+                for w, s in self.repair_beside(before, tok, after).items():
                     links[w] = max(links.get(w, 0.0), s)
             count = Counter(view)
             # What the value says in known words beyond the entry counts against the entry.

@@ -7,17 +7,17 @@ adaptive execution splits where a value is hot.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veriloom.llm.fold import SUSPECT, USUAL_HAN, fold, irregular, words_of
-from veriloom.llm.mapping import Bounds, Matcher
+from veriloom.llm.mapping import NONE, Bounds, Matcher
 from veriloom.session import bounded
 
-#: Most entries of a reference list; it is sent to every worker.
+#: Most entries of a reference list that go to the workers at once; longer lists take several turns.
 MOST_TERMS = 50_000
 
 
@@ -34,51 +34,96 @@ def fields(df: DataFrame, table_name: str, key: str, names: list[str]) -> DataFr
     return df.select(F.lit(table_name).alias("table_name"), F.col(key).cast("string").alias("record_id"), F.explode(cells).alias("c")).select("table_name", "record_id", "c.field_name", "c.value").filter("value is not null")
 
 
-def terms(df: DataFrame) -> list[tuple]:
-    """The reference list, which must be small: it is checked, not trusted."""
-    rows = bounded(df.select("term_id", "term_kind", "term_name", "short_names"), MOST_TERMS)
-    if rows is None:
-        raise ValueError(f"the reference list has more than {MOST_TERMS} entries")
-    return [tuple(r) for r in rows]
+def blocks(reference: DataFrame, most: int = MOST_TERMS) -> Iterator[list[tuple]]:
+    """The reference list in blocks of about `most` entries at most, fetched one at a time; one block if it is no longer."""
+    df = reference.select("term_id", "term_kind", "term_name", "short_names")
+    rows = bounded(df, most)
+    if rows is not None:
+        yield [tuple(r) for r in rows]
+        return
+    n = -(-2 * df.count() // most)
+    for i in range(n):
+        yield [tuple(r) for r in df.filter(F.pmod(F.xxhash64("term_id", "term_kind", "term_name"), F.lit(n)) == i).collect()]
 
 
-def forms(cells: DataFrame, usual: list[str]) -> DataFrame:
+def usual_words(reference: DataFrame) -> DataFrame:
+    """(word): the case-folded words of the names of a reference list that aren't ASCII; only these can be mistaken."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"word": sorted(w for w in words_of(b["term_name"]) if not w.isascii())}, dtype="object")
+
+    return reference.select("term_name").filter("term_name is not null").mapInPandas(run, "word string").distinct()
+
+
+def forms(cells: DataFrame, usual: list[str] | DataFrame, most: int = MOST_TERMS) -> DataFrame:
     """cells with `form`, the consistent form of value, and `odd`, whether it holds an irregular character.
 
-    Nulls don't occur in cells; a value's form depends on the value and the list of usual names only.
+    Nulls don't occur in cells; a value's form depends on the value and the list of usual names only. The list's words
+    (usual_words, or a list of names) go to the workers while they are at most `most`; else each value meets the words
+    it holds by a join.
     """
-    vocabulary = words_of(usual)
+    known = None
+    if not isinstance(usual, DataFrame):
+        known = words_of(usual)
+    elif (rows := bounded(usual, most)) is not None:
+        known = frozenset(r["word"] for r in rows)
+
+    def told(values: pd.Series, vocabularies: Iterable[frozenset]) -> dict:
+        pairs = [(fold(v, w), irregular(v, w)) for v, w in zip(values, vocabularies)]
+        return {"form": [f for f, _ in pairs], "odd": [o for _, o in pairs]}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b.assign(form=[fold(v, vocabulary) for v in b["value"]], odd=[irregular(v, vocabulary) for v in b["value"]])
+            own = [known] * len(b) if known is not None else [frozenset(w) for w in b["words"]]
+            yield b[["value"]].assign(**told(b["value"], own))
+
+    def spelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pairs = [(v, w) for v in b["value"] for w in sorted(words_of([v])) if not w.isascii()]
+            yield pd.DataFrame(pairs, columns=["value", "word"], dtype="object")
 
     suspect = F.col("value").rlike(SUSPECT)
     plain = F.translate(F.trim(F.regexp_replace(F.lower("value"), " +", " ")), "".join(USUAL_HAN), "".join(USUAL_HAN.values()))
-    done = spread(cells.filter(suspect).select("value").distinct(), "value").mapInPandas(run, "value string, form string, odd boolean")
+    values = spread(cells.filter(suspect).select("value").distinct(), "value")
+    if known is None:
+        met = values.mapInPandas(spelled, "value string, word string").join(usual, "word").groupBy("value").agg(F.collect_set("word").alias("words"))
+        values = values.join(met, "value", "left").withColumn("words", F.coalesce("words", F.array().cast("array<string>")))
+    done = values.mapInPandas(run, "value string, form string, odd boolean")
     return cells.filter(~suspect).withColumns({"form": plain, "odd": F.lit(False)}).unionByName(cells.filter(suspect).join(done, "value").select(*cells.columns, "form", "odd"))
 
 
-def odd_values(cells: DataFrame, usual: list[str]) -> DataFrame:
+def odd_values(cells: DataFrame, usual: list[str] | DataFrame) -> DataFrame:
     """The cells whose value holds an irregular character."""
     return forms(cells.filter(F.col("value").rlike(SUSPECT)), usual).filter("odd").select(*cells.columns)
 
 
-def mapped(cells: DataFrame, kinds: dict[tuple[str, str], str], reference: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
+def mapped(cells: DataFrame, kinds: dict[tuple[str, str], str], reference: DataFrame, bounds: Bounds = Bounds(), most: int = MOST_TERMS) -> DataFrame:
     """The cells whose value isn't a name of the reference list character for character, with term_id (or NONE) and score.
 
-    kinds: (table_name, field_name) -> term_kind of the reference list.
+    kinds: (table_name, field_name) -> term_kind of the reference list. A list of more than `most` entries is matched
+    block by block, each with the word weights of its block, and the best entry of all blocks is taken (of equal ones the
+    smaller id).
     """
-    listed = terms(reference)
     kind = F.coalesce(*(F.when((F.col("table_name") == t) & (F.col("field_name") == f), k) for (t, f), k in kinds.items()))
-    exact = cells.sparkSession.createDataFrame([(t[1], t[2]) for t in listed if t[1] is not None and t[2] is not None], "kind string, value string").distinct()
+    exact = reference.select(F.col("term_kind").alias("kind"), F.col("term_name").alias("value")).dropna().distinct()
     other = cells.withColumn("kind", kind).join(exact, ["kind", "value"], "left_anti")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(listed, bounds)
-        for b in batches:
-            found = [matcher.match(k, v) for k, v in zip(b["kind"], b["value"])]
-            yield b.assign(term_id=[t for t, _ in found], score=[s for _, s in found])
-
-    done = spread(other.select("kind", "value").distinct(), "kind", "value").mapInPandas(run, "kind string, value string, term_id string, score double")
+    values = spread(other.select("kind", "value").distinct(), "kind", "value")
+
+    def against(listed: list[tuple]) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            matcher = Matcher(listed, bounds)
+            for b in batches:
+                found = [matcher.match(k, v) for k, v in zip(b["kind"], b["value"])]
+                yield b.assign(term_id=[t for t, _ in found], score=[s for _, s in found])
+
+        return values.mapInPandas(run, "kind string, value string, term_id string, score double")
+
+    parts = [against(block) for block in blocks(reference, most)]
+    done = parts[0]
+    if len(parts) > 1:
+        for part in parts[1:]:
+            done = done.unionByName(part)
+        order = F.struct((F.col("term_id") == NONE).alias("none"), (-F.col("score")).alias("s"), "term_id")
+        done = done.groupBy("kind", "value").agg(F.min_by(F.struct("term_id", "score"), order).alias("r")).select("kind", "value", "r.*")
     return other.join(done, ["kind", "value"]).select(*cells.columns, "kind", "term_id", "score")

@@ -84,8 +84,8 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
 _FORM_KINDS = {k: v for k, v in KINDS.items() if k[1] != "entity_name"}
 
 
-def _usual(spark: SparkSession, d: str) -> list[str]:
-    return [t[2] for t in names.terms(_terms(spark, d)) if t[2]]
+def _usual(spark: SparkSession, d: str) -> DataFrame:
+    return names.usual_words(_terms(spark, d))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
