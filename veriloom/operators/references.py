@@ -88,20 +88,13 @@ def orphans(refs: DataFrame, target_rows: DataFrame) -> DataFrame:
 def orphan_counts(refs: DataFrame, target_rows: DataFrame) -> DataFrame:
     """Per table, field and period: references, orphans by reason, distinct orphan ids, and the orphan share.
 
-    Every reference counts once per referring row; periods without an orphan are listed with zeros.
+    Every reference counts once per referring row; periods without an orphan are listed with zeros. All references are
+    counted where they stand; only the distinct keys are matched, and only the rows of keys in doubt come back (orphans).
     """
-    keys = refs.groupBy("table_name", "field_name", "target", "period", "ref_id", "at").agg(F.count(F.lit(1)).alias("n"))
-    state = F.when(F.col("live").isNull(), "missing").when(~F.col("live"), "deleted").when(F.col("since") > F.col("at"), "late")
-    x = keys.join(target_rows, ["target", "ref_id"], "left").withColumn("reason", state)
-    by = lambda r: F.sum(F.when(F.col("reason") == r, F.col("n")).otherwise(0)).cast("long")
-    return (
-        x.groupBy("table_name", "field_name", "period")
-        .agg(
-            F.sum("n").cast("long").alias("n_refs"),
-            by("missing").alias("n_missing"),
-            by("deleted").alias("n_deleted"),
-            by("late").alias("n_late"),
-            F.count_distinct(F.when(F.col("reason").isNotNull(), F.col("ref_id"))).alias("n_orphan_ids"),
-        )
-        .withColumn("orphan_share", F.round((F.col("n_missing") + F.col("n_deleted") + F.col("n_late")) / F.col("n_refs"), 6))
-    )
+    group = ["table_name", "field_name", "period"]
+    total = refs.groupBy(*group).agg(F.count(F.lit(1)).alias("n_refs"))
+    by = lambda r: F.sum(F.when(F.col("reason") == r, F.col("n")).otherwise(0)).alias(f"n_{r}")
+    found = orphans(refs, target_rows).groupBy(*group).agg(by("missing"), by("deleted"), by("late"), F.count_distinct("ref_id").alias("n_orphan_ids"))
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
+    x = total.alias("a").join(found.alias("b"), same, "left").select(*(F.col(f"a.{g}") for g in group), "n_refs", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_missing", "n_deleted", "n_late", "n_orphan_ids")))
+    return x.withColumn("orphan_share", F.round((F.col("n_missing") + F.col("n_deleted") + F.col("n_late")) / F.col("n_refs"), 6))
