@@ -34,7 +34,7 @@ def parsed_decimal(text: Column) -> Column:
     )
     good = status.isin("reported", "reported_zero")
     flag = lambda c, f: F.when(c, F.array(F.lit(f))).otherwise(F.array().cast("array<string>"))
-    flags = F.when(good, F.concat(flag(rounded != number, "PRECISION_ROUNDED_6DP"), flag(rounded < 0, "NEGATIVE_VALUE"))).when(
+    flags = F.when(good, F.concat(flag(rounded.cast("decimal(38,18)") != number, "PRECISION_ROUNDED_6DP"), flag(rounded < 0, "NEGATIVE_VALUE"))).when(
         status == "parse_error", F.array(F.when(raw.startswith("#"), "EXCEL_ERROR").otherwise("NON_NUMERIC_VALUE"))
     ).otherwise(F.array().cast("array<string>"))
     return F.struct(F.when(good, rounded).alias("value"), status.alias("status"), flags.alias("flags"))
@@ -49,7 +49,7 @@ def premium_decimal(text: Column) -> Column:
         F.when(raw.isNull() | (raw == ""), None)
         .when(raw.startswith("#"), "EXCEL_ERROR")
         .when(number.isNull(), "NON_NUMERIC_VALUE")
-        .when(rounded != number, "PRECISION_ROUNDED_6DP")
+        .when(rounded.cast("decimal(38,18)") != number, "PRECISION_ROUNDED_6DP")
         .when(number < 0, "NEGATIVE_VALUE")
     )
     return F.struct(rounded.alias("value"), flag.alias("flag"))

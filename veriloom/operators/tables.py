@@ -17,10 +17,10 @@ SHEET = ["file", "sheet"]
 
 
 def address(row: Column, col: Column) -> Column:
-    """The A1 address of a cell (columns up to ZZ)."""
-    letter = lambda n: F.char(F.lit(64) + n)
+    """The A1 address of a cell (columns up to XFD, the last of a sheet)."""
+    letter = lambda n: F.when(n > 0, F.char(F.lit(65) + F.pmod(n - 1, F.lit(26)))).otherwise("")
     high = F.floor((col - 1) / 26)
-    return F.concat(F.when(high > 0, letter(high)).otherwise(""), letter(col - high * 26), row.cast("string"))
+    return F.concat(letter(F.floor((high - 1) / 26)), letter(high), letter(col), row.cast("string"))
 
 
 def header_rows(cells: DataFrame, required: list[str]) -> DataFrame:
@@ -58,11 +58,12 @@ def body(cells: DataFrame, headers: DataFrame, columns: DataFrame, label_col: in
     return under.join(columns, [*SHEET, "col"]).join(labels, [*SHEET, "row"], "left").drop("header_row")
 
 
-def footnotes(cells: DataFrame, mark: str = "注") -> DataFrame:
-    """(file, sheet, footnotes): the texts from the first row that starts with the mark on, each once, in order."""
+def footnotes(cells: DataFrame, mark: str = "注", marks: tuple[str, ...] = ()) -> DataFrame:
+    """(file, sheet, footnotes): the texts from the first row on that starts with the mark, or any of the marks, each
+    once, in order."""
     v = F.trim("value")
     x = cells.filter(F.col("value").isNotNull() & (v != "")).withColumn("v", v)
-    starts = x.filter(F.col("v").startswith(mark)).groupBy(*SHEET).agg(F.min("row").alias("start"))
+    starts = x.filter(F.col("v").rlike("^(?:" + "|".join(marks or (mark,)) + ")")).groupBy(*SHEET).agg(F.min("row").alias("start"))
     g = x.join(starts, SHEET).filter("row >= start").groupBy(*SHEET).agg(F.array_sort(F.collect_list(F.struct("row", "col", "v"))).alias("n"))
     return g.select(*SHEET, F.array_join(F.array_distinct(F.transform("n", lambda s: s["v"])), "\n").alias("footnotes"))
 
