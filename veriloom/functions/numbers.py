@@ -7,7 +7,7 @@ shown           display text by number format, half-up
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Cells that stand for 'not reported'.
@@ -74,6 +74,24 @@ def shown(value: Column, number_format: Column) -> Column:
     return F.when(value.isNull(), "").when(general, F.trim(value.cast("string"))).otherwise(F.concat(signed, F.when(percent, "%").otherwise("")))
 
 
+def with_shown(df: DataFrame, value: str, number_format: str, to: str) -> DataFrame:
+    """df with `to`, the text that shown() gives for a decimal column and its format, in steps: each is a column of its
+    own, so that the plan holds no expression twice."""
+    kept = df.columns
+    f = F.col(number_format)
+    x = df.withColumns({"_v": F.col(value).cast("decimal(38,18)"), "_sections": F.split(f, ";")})
+    x = x.withColumn("_section", F.when((F.col("_v") < 0) & (F.size("_sections") > 1), F.try_element_at("_sections", F.lit(2))).otherwise(F.try_element_at("_sections", F.lit(1))))
+    x = x.withColumns({"_percent": F.contains("_section", F.lit("%")), "_places": F.length(F.regexp_extract("_section", r"\.([0#]+)", 1))})
+    x = x.withColumn("_size", F.abs("_v") * F.when(F.col("_percent"), 100).otherwise(1))
+    x = x.withColumn("_rounded", F.coalesce(*(F.when(F.col("_places") == k, F.round("_size", k).cast(f"decimal(38,{k})").cast("string")) for k in range(10))))
+    x = x.withColumns({"_whole": F.substring_index("_rounded", ".", 1), "_part": F.when(F.contains("_rounded", F.lit(".")), F.concat(F.lit("."), F.substring_index("_rounded", ".", -1))).otherwise("")})
+    x = x.withColumn("_grouped", F.when(F.contains("_section", F.lit(",")), F.concat(F.regexp_replace("_whole", r"(?<=[0-9])(?=(?:[0-9]{3})+$)", ","), "_part")).otherwise(F.col("_rounded")))
+    x = x.withColumn("_signed", F.when(F.col("_v") < 0, F.when(F.contains("_section", F.lit("(")), F.concat(F.lit("("), "_grouped", F.lit(")"))).otherwise(F.concat(F.lit("-"), "_grouped"))).otherwise(F.col("_grouped")))
+    general = f.isNull() | (f == "") | (F.lower(f) == "general")
+    text = F.when(F.col(value).isNull(), "").when(general, F.trim(F.col(value).cast("string"))).otherwise(F.concat("_signed", F.when(F.col("_percent"), "%").otherwise("")))
+    return x.select(*kept, text.alias(to))
+
+
 def metric_unit(code: Column, name: Column) -> Column:
     """% for metrics whose name says a ratio, else 亿元."""
     return F.when(code == "net_profit_ytd", "亿元").when(F.coalesce(name, F.lit("")).rlike("|".join(PERCENT_WORDS)), "%").otherwise("亿元")

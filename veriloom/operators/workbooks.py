@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veriloom.functions.dates import period_from_token, quarter_from_filename
-from veriloom.functions.numbers import metric_unit, parsed_decimal, premium_decimal, shown
+from veriloom.functions.numbers import metric_unit, parsed_decimal, premium_decimal, with_shown
 from veriloom.functions.text import full_label_key, nfkc, squeezed
 from veriloom.operators import dims
 from veriloom.operators.tables import SHEET, address, footnotes, sheets_with
@@ -118,10 +118,13 @@ def assemble(body: DataFrame, attributes: DataFrame) -> DataFrame:
     """
     x = body.drop("dataset", "footnotes").join(attributes.select(*SHEET, "dataset", "source_format", "source_file_hash", "footnotes"), SHEET)
     stored = F.col("source_format") == "xlsx"
-    number = F.col("value").try_cast("decimal(38,18)")
-    display = F.trim(F.when(stored & number.isNotNull(), shown(number, F.col("format"))).otherwise(F.coalesce("value", F.lit(""))))
-    plain = F.when(stored & (F.coalesce("format", F.lit("")).isin("") | (F.lower(F.coalesce("format", F.lit(""))) == "general")), F.trim("value")).otherwise(display)
-    x = x.withColumn("_shown", plain).withColumn("_p", parsed_decimal(nfkc(F.when((F.col("unit") == "%") | ~stored, F.col("_shown")).otherwise(F.col("value")))))
+    x = with_shown(x.withColumn("_number", F.col("value").try_cast("decimal(38,18)")), "_number", "format", "_text")
+    general = F.coalesce("format", F.lit("")) == ""
+    as_is = ~stored | F.col("_number").isNull() | general | (F.lower(F.coalesce("format", F.lit(""))) == "general")
+    x = x.withColumn("_shown", F.trim(F.when(as_is, F.coalesce("value", F.lit(""))).otherwise(F.col("_text"))))
+    x = x.withColumn("_read", nfkc(F.when((F.col("unit") == "%") | ~stored, F.col("_shown")).otherwise(F.col("value"))))
+    x = x.withColumn("_p", parsed_decimal(F.col("_read")))
+    number = F.col("_number")
     divided = F.col("_p.value").isNotNull() & F.col("divisor").isNotNull()
     value = F.when(divided, F.bround(F.col("_p.value") / F.col("divisor"), 6)).otherwise(F.col("_p.value")).cast("decimal(38,6)")
     converted = F.when(divided, F.array(F.concat(F.lit("UNIT_CONVERTED_"), "unit_raw", F.lit("_TO_"), "unit"))).otherwise(F.array().cast("array<string>"))
