@@ -45,8 +45,8 @@ def _facts(spark: SparkSession, d: str) -> DataFrame:
     return facts.latest(table(spark, d, "table_facts", *_FACT_COLUMNS))
 
 
-def _grouped(operation: str, *by: str):
-    return lambda spark, d: facts.run(_facts(spark, d), FactQuery(operation, group_by=by))
+def _grouped(operation: str, *by: str, most: int | None = None):
+    return lambda spark, d: facts.run(_facts(spark, d), FactQuery(operation, group_by=by), most)
 
 
 @query(f"with {_LATEST} select fact_id, period_end, metric_code, entity_code, normalized_value, unit, concat_ws('；', entity_name, metric_name, cast(period_end as varchar)) || '：' || coalesce(normalized_value,'') || coalesce(unit,'') excerpt from f where normalized_value is not null and unit in ('亿元','CNY_100M') and metric_code in ('M1000','M1105') order by {_LAST_ORDER} limit 200")
@@ -81,9 +81,9 @@ def fact_count(spark, d):
     return _grouped("count", "period_end")(spark, d)
 
 
-def _derived_sql(value: str) -> str:
+def _derived_sql(value: str, most: str = "where n <= 200") -> str:
     return f"""with {_LATEST}, r as (select *, row_number() over (partition by metric_code, entity_code, unit order by {_LAST_ORDER}) n from f where normalized_value is not null),
-g as (select metric_code, entity_code, unit, count(*) c, min(n) a, max(n) b from r where n <= 200 group by all having count(*) >= 2),
+g as (select metric_code, entity_code, unit, count(*) c, min(n) a, max(n) b from r {most} group by all having count(*) >= 2),
 p as (select g.metric_code, g.entity_code, g.unit, g.c n, x.period_end first_period, y.period_end last_period, try_cast(x.normalized_value as decimal(38,12)) u, try_cast(y.normalized_value as decimal(38,12)) v
  from g join r x on x.n = g.a and x.metric_code is not distinct from g.metric_code and x.entity_code is not distinct from g.entity_code and x.unit is not distinct from g.unit
  join r y on y.n = g.b and y.metric_code is not distinct from g.metric_code and y.entity_code is not distinct from g.entity_code and y.unit is not distinct from g.unit)
@@ -92,17 +92,31 @@ select metric_code, entity_code, unit, first_period, last_period, n, {value} \"v
 
 @query(_derived_sql("cast(v - u as decimal(38,12))"))
 def fact_difference(spark, d):
-    return _grouped("difference", "metric_code", "entity_code", "unit")(spark, d)
+    """The feature of a reply: the first 200 rows of each group by period."""
+    return _grouped("difference", "metric_code", "entity_code", "unit", most=facts.MOST_ROWS)(spark, d)
 
 
 @query(_derived_sql("(case when u <> 0 then round(cast(v as double) / cast(u as double), 6) end)"))
 def fact_ratio(spark, d):
-    return _grouped("ratio", "metric_code", "entity_code", "unit")(spark, d)
+    """The feature of a reply: the first 200 rows of each group by period."""
+    return _grouped("ratio", "metric_code", "entity_code", "unit", most=facts.MOST_ROWS)(spark, d)
 
 
 @query(_derived_sql("cast(v - u as decimal(38,12))"))
 def fact_trend(spark, d):
-    return _grouped("trend", "metric_code", "entity_code", "unit")(spark, d)
+    """The feature of a reply: the first 200 rows of each group by period."""
+    return _grouped("trend", "metric_code", "entity_code", "unit", most=facts.MOST_ROWS)(spark, d)
+
+
+@query(_derived_sql("cast(v - u as decimal(38,12))", ""))
+def fact_difference_whole(spark, d):
+    """The same over all rows of each group."""
+    return _grouped("difference", "metric_code", "entity_code", "unit")(spark, d)
+
+
+@query(_derived_sql("(case when u <> 0 then round(cast(v as double) / cast(u as double), 6) end)", ""))
+def fact_ratio_whole(spark, d):
+    return _grouped("ratio", "metric_code", "entity_code", "unit")(spark, d)
 
 
 @query("select fact_id, source_id, sheet_name, cell_range, created_at from (select *, row_number() over (partition by fact_id order by source_id asc nulls last, sheet_name asc nulls last, cell_range asc nulls last, created_at asc nulls last) k from table_facts) where k = 1")
@@ -271,7 +285,7 @@ def bm25_terms(spark, d):
 
 def _sparse(spark: SparkSession, d: str) -> DataFrame:
     docs, queries = _docs(spark, d)
-    return retrieval.bm25_search(queries, retrieval.bm25_index(docs, "doc_id", "text"), "doc_id")
+    return retrieval.bm25_query(queries, docs, "doc_id", "text")
 
 
 @query(f"with {_BM25} select query_id, doc_id, score from hb")
@@ -293,22 +307,15 @@ def dense_topk(spark, d):
     return _dense(spark, d).select("query_id", "vec_id", "score")
 
 
-def _channels(spark: SparkSession, d: str) -> DataFrame:
-    """Two channels over one id space: words against document ids, and vectors against the ids of their place."""
-    sparse = _sparse(spark, d).withColumn("doc_id", F.pmod("doc_id", F.lit(500))).groupBy(F.pmod("query_id", F.lit(500)).alias("query_id"), "doc_id").agg(F.max("score").alias("score"))
-    return retrieval.fuse({"dense": _dense(spark, d).withColumnRenamed("vec_id", "doc_id"), "bm25": retrieval.top(sparse, "doc_id", 40)}, "doc_id")
-
+_PLACE = "cast('0x' || substr(md5(x), 1, 8) as ubigint) % 64"
+_HASHED = f"""vd as (select doc_id, {_PLACE} p, count(*) n from (select doc_id, unnest(w) x from tk) group by all), vq as (select query_id, {_PLACE} p, count(*) n from (select query_id, unnest(w) x from qt) group by all),
+nd as (select doc_id, sqrt(sum(n * n)) l from vd group by 1), nq as (select query_id, sqrt(sum(n * n)) l from vq group by 1),
+dn as (select * from (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) "rank" from (select vq.query_id, vd.doc_id, round(sum(vq.n * vd.n) / (any_value(nq.l) * any_value(nd.l)), 6) score from vq join vd using (p) join nq on nq.query_id = vq.query_id join nd on nd.doc_id = vd.doc_id group by 1, 2)) where "rank" <= 40)"""
 
-@query(f"""with {_BM25}, {_COSINE}, b as (select * from (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) r from (select query_id % 500 query_id, doc_id % 500 doc_id, max(score) score from hb group by 1, 2)) where r <= 40),
-x as (select query_id, doc_id, cast(de."rank" as integer) dense_rank, cast(b.r as integer) bm25_rank, round(coalesce(1.0 / (60 + de."rank"), 0) + coalesce(1.0 / (60 + b.r), 0), 9) rrf from (select query_id, vec_id doc_id, "rank" from de) de full join b using (query_id, doc_id))
-select query_id, doc_id, dense_rank, bm25_rank, rrf from x""")
-def rrf_fuse(spark, d):
-    return _channels(spark, d).select("query_id", "doc_id", "dense_rank", "bm25_rank", "rrf")
 
-
-@query()
+@query(f"""with {_BM25}, {_HASHED} select query_id, doc_id, cast(dn."rank" as integer) dense_rank, cast(hb."rank" as integer) bm25_rank, round(coalesce(1.0 / (60 + dn."rank"), 0) + coalesce(1.0 / (60 + hb."rank"), 0), 9) rrf from dn full join hb using (query_id, doc_id)""")
 def rrf_fuse_documents(spark, d):
-    """Words and hashed vectors fused over the whole id space of the documents (rows only: SQL hasn't the hash)."""
+    """Words and hashed vectors fused over the whole id space of the documents."""
     docs, queries = _docs(spark, d)
     x = retrieval.fuse({"dense": retrieval.hashed_search(queries, docs, "doc_id", "text"), "bm25": _sparse(spark, d)}, "doc_id")
     return x.select("query_id", "doc_id", "dense_rank", "bm25_rank", "rrf")
@@ -451,9 +458,10 @@ def text_clause_tokens(spark, d):
     return table(spark, d, "documents", "doc_id", "text").select("doc_id", text.clause(F.col("text")).alias("clause"), text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query(r"select distinct metric_name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(metric_name, '[\s\x0b\x85]+', '', 'g'), '[*＊]', '', 'g'), '^[0-9]+[.、]', ''), '^（[一二三四五六七八九十]+）', ''), '^(?:其中[：:])+', '') label_key from table_facts where metric_name is not null and not regexp_matches(metric_name, '[^ -~一-鿿、（）：＊]')")
-def text_label_keys(spark, d):
-    return table(spark, d, "table_facts", "metric_name").filter("metric_name is not null and not metric_name rlike '[^ -~一-鿿、（）：＊]'").select("metric_name", text.label_key(F.col("metric_name")).alias("label_key")).distinct()
+@query(r"select distinct metric_name, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(metric_name, '[ \t\n\x0b\f\r\x85]+', '', 'g'), '[*＊]', '', 'g'), '^[0-9]+[.、]', ''), '^（[一二三四五六七八九十]+）', ''), '^(?:其中[：:])+', '') label_key from table_facts where metric_name is not null")
+def text_label_keys_plain(spark, d):
+    """The label key of every metric name, without NFKC, which SQL lacks; text_label_keys_all takes it first."""
+    return table(spark, d, "table_facts", "metric_name").filter("metric_name is not null").distinct().select("metric_name", text.label_key(F.col("metric_name")).alias("label_key"))
 
 
 @query()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,25 +28,35 @@ def pack(elements: DataFrame, key: str, target: int = TARGET, hard: int = HARD)
     the sorted elements of one document, whose size is that of a document.
     """
     rows = elements.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "tokens", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce(F.col("kind").isin(*ALONE), F.lit(False)).alias("alone")))).alias("e"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).alias("tokens"), F.lit(0).alias("n"), F.lit("").alias("heading"), F.array().cast("array<struct<idx:int,chunk:int>>").alias("out"))
-
-    def step(s, x):
-        close = (s["n"] > 0) & ((x["heading"] != s["heading"]) | (s["tokens"] + x["tokens"] > target) | x["alone"])
-        chunk = s["chunk"] + close.cast("int")
-        tokens = F.when(close, 0).otherwise(s["tokens"]) + x["tokens"]
-        after = (tokens >= hard) | x["alone"]
-        return F.struct(
-            (chunk + after.cast("int")).alias("chunk"),
-            F.when(after, 0).otherwise(tokens).alias("tokens"),
-            F.when(after, 0).otherwise(F.when(close, 0).otherwise(s["n"]) + 1).alias("n"),
-            x["heading"].alias("heading"),
-            F.concat(s["out"], F.array(F.struct(x["idx"].alias("idx"), chunk.alias("chunk")))).alias("out"),
-        )
-
-    folded = rows.select(key, F.explode(F.aggregate("e", start, step, lambda s: s["out"])).alias("o")).select(key, "o.idx", "o.chunk")
+    part = lambda n: F.transform("e", lambda x: x[n])
+    # One running state over each document, in Arrow batches of whole documents; linear in its elements.
+    numbers = _folded(target, hard)(part("tokens"), part("heading"), part("alone"))
+    folded = rows.select(key, F.explode(F.arrays_zip(part("idx").alias("idx"), numbers.alias("chunk"))).alias("o")).select(key, "o.idx", "o.chunk")
     return elements.join(folded, [key, "idx"])
 
 
+def _folded(target: int, hard: int):
+    """The fold of pack as a function of the lists of tokens, headings and lone marks of a document."""
+
+    @F.pandas_udf("array<int>")
+    def fold(tokens: pd.Series, headings: pd.Series, alone: pd.Series) -> pd.Series:
+        def one(ts, hs, bs) -> list[int]:
+            chunk = used = n = 0
+            last, out = "", []
+            for t, h, b in zip(ts, hs, bs):
+                if n and (h != last or used + t > target or b):
+                    chunk, used, n = chunk + 1, 0, 0
+                used, n, last = used + int(t), n + 1, h
+                out.append(chunk)
+                if used >= hard or b:
+                    chunk, used, n = chunk + 1, 0, 0
+            return out
+
+        return pd.Series([one(*x) for x in zip(tokens, headings, alone)], dtype="object")
+
+    return fold
+
+
 def chunks(packed: DataFrame, key: str, title: str | None = None) -> DataFrame:
     """One row per chunk: display, embedding and BM25 text, tokens, content type, and the neighbours' numbers."""
     order = F.array_sort(F.collect_list(F.struct("idx", "line", "kind")))

@@ -47,20 +47,33 @@ def summarise(outcomes: DataFrame, facets: list[str]) -> DataFrame:
     return g.withColumns({"accuracy": F.round(F.col("n_correct") / F.col("n"), 6), "answered_accuracy": F.when(answered > 0, F.round(F.col("n_correct") / answered, 6))})
 
 
+def _grams(text: Column, size: Column) -> Column:
+    """The distinct stretches of `size` characters of a text; none if it is shorter."""
+    n = F.length(text) - size + 1
+    return F.when(n >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: text.substr(i, size)))).otherwise(F.array().cast("array<string>"))
+
+
 def map_sources(questions: DataFrame, aliases: DataFrame, least: float = 0.8, slack: float = 0.02) -> DataFrame:
     """(question_id, source_ids) for questions (question_id, source_format, evidence_reference, file_label) and aliases
     (source_id, source_format, original_file_name).
 
     First by the attachment number that starts a file name; questions without such a hit go by the longest common
     substring of label and name, where it covers at least `least` of the label and comes within `slack` of the best.
-    Questions are a stated set; a name is compared only within its format.
+    A name is compared only with labels of its format that share a stretch of up to four characters with it, as every
+    pair of that coverage does.
     """
     a = aliases.select("source_id", "source_format", "original_file_name").distinct()
     number = F.regexp_replace(F.regexp_extract("original_file_name", "^([0-9]+)_", 1), "^0+", "")
     q = questions.withColumn("number", F.regexp_replace(attachment_id(F.col("evidence_reference")), "^0+", ""))
     by_id = q.join(a.withColumn("number", number).filter("number <> ''"), ["number", "source_format"]).select("question_id", "source_id")
     rest = q.join(by_id.select("question_id").distinct(), "question_id", "left_anti").withColumn("label", file_key(F.col("file_label"))).filter("label <> ''")
-    scored = rest.join(a.withColumn("name", file_key(F.col("original_file_name"))), "source_format").withColumn("coverage", substring_coverage(F.col("label"), F.col("name"))).filter(F.col("coverage") >= least)
+    # A common stretch of the least coverage holds each of its own stretches of this size.
+    size = F.least(F.lit(4), F.greatest(F.lit(1), F.ceil(F.length("label") * least).cast("int")))
+    named = a.withColumn("name", file_key(F.col("original_file_name")))
+    some = rest.withColumn("gram", F.explode(_grams(F.col("label"), size)))
+    sizes = F.flatten(F.array(*(_grams(F.col("name"), F.lit(n)) for n in range(1, 5))))
+    pairs = some.join(named.withColumn("gram", F.explode(F.array_distinct(sizes))), ["source_format", "gram"]).select("question_id", "label", "source_id", "name").distinct()
+    scored = pairs.withColumn("coverage", substring_coverage(F.col("label"), F.col("name"))).filter(F.col("coverage") >= least)
     best = F.max("coverage").over(Window.partitionBy("question_id"))
     by_name = scored.withColumn("best", best).filter(F.col("coverage") >= F.greatest(F.lit(least), F.col("best") - slack)).select("question_id", "source_id")
     return by_id.unionByName(by_name).groupBy("question_id").agg(F.array_sort(F.collect_set("source_id")).alias("source_ids"))

@@ -92,14 +92,19 @@ def aggregate(facts: DataFrame, q: FactQuery) -> DataFrame:
     return facts.filter(q.where()).groupBy(*q.group_by).agg(how.alias("value")).filter("value is not null")
 
 
-def derived(facts: DataFrame, q: FactQuery, most: int = MOST_ROWS) -> DataFrame:
+def derived(facts: DataFrame, q: FactQuery, most: int | None = None) -> DataFrame:
     """difference and trend (last less first) or ratio (last over first, none for a zero first), one row per group.
 
-    Needs at least two rows of one unit, one metric and one entity; the first `most` rows by period take part. Null
-    units, codes count as one value of their own.
+    Needs at least two rows of one unit, one metric and one entity. Of a single question (no group_by) the first
+    MOST_ROWS rows by period take part, as in the reference; in groups all rows do, unless `most` is set. Null units,
+    codes count as one value of their own.
     """
     rows = facts.filter(q.where())
-    if q.group_by:
+    if most is None and not q.group_by:
+        most = MOST_ROWS
+    if most is None:
+        pass
+    elif q.group_by:
         w = Window.partitionBy(*q.group_by).orderBy(*(F.col(c).asc_nulls_last() for c in ORDER))
         rows = rows.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= most)
     else:
@@ -118,11 +123,11 @@ def derived(facts: DataFrame, q: FactQuery, most: int = MOST_ROWS) -> DataFrame:
     return ok.select(*q.group_by, F.col("a.period_end").alias("first_period"), F.col("b.period_end").alias("last_period"), "n", value.alias("value")).filter("value is not null")
 
 
-def run(facts: DataFrame, q: FactQuery) -> DataFrame:
-    """The plan of a query by its operation."""
+def run(facts: DataFrame, q: FactQuery, most: int | None = None) -> DataFrame:
+    """The plan of a query by its operation; most: rows of a group that a derived operation reads (None: all)."""
     if q.operation == "lookup":
         return lookup(facts, q)
-    return derived(facts, q) if q.operation in ("difference", "ratio", "trend") else aggregate(facts, q)
+    return derived(facts, q, most) if q.operation in ("difference", "ratio", "trend") else aggregate(facts, q)
 
 
 def dictionaries(facts: DataFrame) -> DataFrame:

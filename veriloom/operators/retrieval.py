@@ -36,21 +36,50 @@ def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return balanced(docs.select(key, text)).select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_index(docs: DataFrame, key: str, text: str, vocabulary: int = VOCABULARY) -> tuple[DataFrame, DataFrame, DataFrame]:
+def bm25_index(docs: DataFrame, key: str, text: str, vocabulary: int | None = VOCABULARY) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(postings(term, key, tf, weight), term_stats(term, df, idx), corpus(n_docs, avgdl)).
 
     Lengths count all tokens, in the vocabulary or not; texts without tokens have length 0 and count as documents. The
-    vocabulary is the `vocabulary` terms of the highest document frequency, ties by term.
+    vocabulary is the `vocabulary` terms of the highest document frequency, ties by term (None: all terms).
     """
     counts = cut(term_counts(docs, key, text))
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    kept = stats.orderBy(F.desc("df"), "term").limit(vocabulary)
+    kept = stats.orderBy(F.desc("df"), "term").limit(vocabulary) if vocabulary else stats
     length = counts.groupBy(key).agg(F.sum("tf").alias("dl"))
     corpus = docs.select(F.col(key).alias("_k")).distinct().join(length.withColumnRenamed(key, "_k"), "_k", "left").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
+    return weighed(counts.join(kept.select("term"), "term", "left_semi"), length, corpus, key), kept, corpus
+
+
+def weighed(counts: DataFrame, length: DataFrame, corpus: DataFrame, key: str, *more: str) -> DataFrame:
+    """Postings (term, key, tf, weight) of some term counts, by the documents' lengths (key, dl)."""
     # One row of corpus figures goes to every row: its size is one row.
-    x = counts.join(kept.select("term"), "term", "left_semi").join(length, key).crossJoin(F.broadcast(corpus))
+    x = counts.join(length, key).crossJoin(F.broadcast(corpus))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.greatest("dl", F.lit(1)) / F.greatest("avgdl", F.lit(1.0))))
-    return x.select("term", key, "tf", weight.alias("weight")), kept, corpus
+    return x.select("term", key, "tf", *more, weight.alias("weight"))
+
+
+def bm25_query(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int = RECALL, vocabulary: int | None = VOCABULARY) -> DataFrame:
+    """What bm25_search gives over bm25_index, in one plan: postings are cut down to the queries' terms before they are
+    weighed, and a document's hits are summed within its own task before they meet those of others.
+
+    A frequent term's postings are spread by document, so that no term is a hot key: the terms of the queries, with
+    their idf, come to them in `salts` copies.
+    """
+    counts = cut(term_counts(docs, key, text))
+    stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    kept = stats.orderBy(F.desc("df"), "term").limit(vocabulary) if vocabulary else stats
+    length = counts.groupBy(key).agg(F.sum("tf").alias("dl"))
+    corpus = docs.select(F.col(key).alias("_k")).distinct().join(length.withColumnRenamed(key, "_k"), "_k", "left").agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.coalesce("dl", F.lit(0))).alias("avgdl"))
+    corpus = cut(corpus)
+    q = cut(term_counts(queries, "query_id", "text").withColumnRenamed("tf", "qtf"))
+    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    asked = q.join(kept, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", (F.col("qtf") * idf).alias("qw"))
+    salts = 16
+    per_term = asked.groupBy("term").agg(F.collect_list(F.struct("query_id", "qw")).alias("asked")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    met = counts.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")).join(per_term, ["term", "salt"])
+    x = weighed(met.select("term", key, "tf", "asked"), length, corpus, key, "asked").select(key, F.explode("asked").alias("a"), "weight")
+    hits = x.groupBy("a.query_id", key).agg(F.round(F.sum(F.col("a.qw") * F.col("weight")), 6).alias("score"))
+    return top(hits, key, k)
 
 
 def bm25_search(queries: DataFrame, index: tuple[DataFrame, DataFrame, DataFrame], key: str, k: int = RECALL) -> DataFrame:
@@ -69,21 +98,40 @@ def top(hits: DataFrame, key: str, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = RECALL, block: int = 256) -> DataFrame:
+def dense_search(queries: DataFrame, vectors: DataFrame, key: str, vector: str, k: int = RECALL, block: int = 256, rows: int = 8192) -> DataFrame:
     """(query_id, key, score, rank) by cosine for queries (query_id, vector): a stated query set against all rows.
 
-    Queries are hashed into blocks of about `block`, so a vector meets a block at a time; each pass keeps the k best
-    per query before the shuffle's window. A zero or null vector scores 0.
+    Blocks of about `block` queries meet blocks of about `rows` rows as matrices; each pair of blocks passes on the k
+    best per query, so every row is compared and nothing is gathered in one place. A zero or null vector scores 0; null
+    vectors are no hits.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    told = queries.filter(F.col("vector").isNotNull())
-    n_blocks = max(1, -(-told.count() // block))
-    q = told.select(F.struct("query_id", "vector", norm(F.col("vector")).alias("norm")).alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("b"))
-    blocks = q.groupBy("b").agg(F.collect_list("q").alias("qs"))
-    v = vectors.filter(F.col(vector).isNotNull()).select(key, F.col(vector).alias("_v"), norm(F.col(vector)).alias("_n"))
-    scored = v.crossJoin(blocks).select(key, F.explode(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), F.when((x["norm"] > 0) & (F.col("_n") > 0), dot(x["vector"], F.col("_v")) / (x["norm"] * F.col("_n"))).otherwise(0.0).alias("score")))).alias("s"))
-    return top(scored.select("s.query_id", key, F.round("s.score", 6).alias("score")), key, k)
+    told, held = queries.filter(F.col("vector").isNotNull()), vectors.filter(F.col(vector).isNotNull())
+    as_doubles = lambda c: F.transform(c, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    return _by_blocks(held.select(key, as_doubles(F.col(vector)).alias("_v")), told.select("query_id", as_doubles(F.col("vector")).alias("_v")), key, k, rows, block, False)
+
+
+def _by_blocks(rows: DataFrame, queries: DataFrame, key: str, k: int, block: int, query_block: int, above_zero: bool) -> DataFrame:
+    """The k best rows (key, _v) of each query (query_id, _v) by cosine, block against block."""
+    n_rows, n_queries = max(1, -(-rows.count() // block)), max(1, -(-queries.count() // query_block))
+    kinds = {c.name: c.dataType.simpleString() for c in [queries.schema["query_id"], rows.schema[key]]}
+
+    def dealt(df: DataFrame, own: str, mine: str, n: int, other: str, n_other: int) -> DataFrame:
+        return df.withColumn(mine, F.pmod(F.xxhash64(own), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))))
+
+    def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if not len(v) or not len(q):
+            return pd.DataFrame({"query_id": q["query_id"][:0], key: v[key][:0], "score": np.zeros(0)})
+        v = v.sort_values(key, ignore_index=True)
+        a, b = np.stack(q["_v"]).astype("float64"), np.stack(v["_v"]).astype("float64")
+        norms = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
+        score = np.round(np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0), 6)
+        at = np.argsort(-score, axis=1, kind="stable")[:, :k]  # equal scores keep the order of the keys
+        out = pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), at.shape[1]), key: v[key].to_numpy()[at.ravel()], "score": np.take_along_axis(score, at, 1).ravel()})
+        return out[out["score"] > 0] if above_zero else out
+
+    v, q = dealt(rows, key, "_b", n_rows, "_q", n_queries), dealt(queries, "query_id", "_q", n_queries, "_b", n_rows)
+    hits = v.groupBy("_b", "_q").cogroup(q.groupBy("_b", "_q")).applyInPandas(best, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
+    return top(hits, key, k)
 
 
 def fuse(channels: dict[str, DataFrame], key: str, k: int = RRF_K, most: int | None = None) -> DataFrame:
@@ -144,9 +192,14 @@ def source_aliases(sources: DataFrame) -> DataFrame:
     return once.filter("source_sha256 is not null").groupBy("source_sha256").agg(F.count(F.lit(1)).alias("n_aliases"), names.alias("names"), F.min_by("source_id", F.struct("created_at", "source_id")).alias("canonical_source_id"))
 
 
+def hashed_place(word: Column, size: int) -> Column:
+    """The place of a word in a hashing vector: its MD5, of which every engine makes the same number."""
+    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint"), F.lit(size)).cast("int")
+
+
 def hashing_vector(text: Column, size: int = 64) -> Column:
     """The offline stand-in for an embedding model: counts of the words hashed into `size` places."""
-    places = F.transform(tokens(text), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
+    places = F.transform(tokens(text), lambda t: hashed_place(t, size))
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
 
 
@@ -157,30 +210,12 @@ def hashed_search(queries: DataFrame, docs: DataFrame, key: str, text: str, k: i
     Blocks of queries meet blocks of rows as matrices, so nothing is gathered in one place, and each pair of blocks
     passes on the k best per query. A text without words is no hit and has none.
     """
-    n_rows, n_queries = max(1, -(-docs.count() // block)), max(1, -(-queries.count() // query_block))
-    kinds = {c.name: c.dataType.simpleString() for c in [queries.schema["query_id"], docs.schema[key]]}
-
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.drop(columns="_p").assign(_v=[np.bincount(np.asarray(p, dtype="int64"), minlength=size) for p in b["_p"]])
 
-    def vectors(df: DataFrame, own: str, words: str, mine: str, n: int, other: str, n_other: int) -> DataFrame:
-        places = F.transform(tokens(F.col(words)), lambda t: F.pmod(F.xxhash64(t), F.lit(size)).cast("int"))
-        p = balanced(df.select(own, words)).select(own, places.alias("_p")).filter(F.size("_p") > 0)
-        v = p.mapInPandas(counted, f"{own} {kinds[own]}, _v array<int>")
-        return v.withColumn(mine, F.pmod(F.xxhash64(own), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_other - 1).cast("bigint"))))
+    def vectors(df: DataFrame, own: str, words: str) -> DataFrame:
+        p = balanced(df.select(own, words)).select(own, F.transform(tokens(F.col(words)), lambda t: hashed_place(t, size)).alias("_p")).filter(F.size("_p") > 0)
+        return p.mapInPandas(counted, f"{own} {dict(df.dtypes)[own]}, _v array<int>")
 
-    def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        if not len(v) or not len(q):
-            return pd.DataFrame({"query_id": q["query_id"][:0], key: v[key][:0], "score": np.zeros(0)})
-        v = v.sort_values(key, ignore_index=True)
-        a, b = np.stack(q["_v"]).astype("float64"), np.stack(v["_v"]).astype("float64")
-        score = np.round((a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]), 6)
-        at = np.argsort(-score, axis=1, kind="stable")[:, :k]  # equal scores keep the order of the keys
-        out = pd.DataFrame({"query_id": np.repeat(q["query_id"].to_numpy(), at.shape[1]), key: v[key].to_numpy()[at.ravel()], "score": np.take_along_axis(score, at, 1).ravel()})
-        return out[out["score"] > 0]
-
-    v = vectors(docs, key, text, "_b", n_rows, "_q", n_queries)
-    q = vectors(queries, "query_id", "text", "_q", n_queries, "_b", n_rows)
-    hits = v.groupBy("_b", "_q").cogroup(q.groupBy("_b", "_q")).applyInPandas(best, f"query_id {kinds['query_id']}, {key} {kinds[key]}, score double")
-    return top(hits, key, k)
+    return _by_blocks(vectors(docs, key, text), vectors(queries, "query_id", "text"), key, k, block, query_block, True)

@@ -41,8 +41,13 @@ def operation(question: Column) -> Column:
 
 def matched_terms(questions: DataFrame, terms: DataFrame) -> DataFrame:
     """(question_id, kind, terms): the dictionary terms (kind, term) in each question, without those that lie within a
-    longer one found there. The questions are a stated set; the dictionary is met term by term."""
-    hits = questions.join(terms.filter("term is not null and term <> ''").distinct(), F.contains("question", F.col("term"))).select("question_id", "kind", "term")
+    longer one found there. A question meets the terms that begin with two (or, for terms of one, with one) of its
+    neighbouring characters; the dictionary may be of any size."""
+    q = F.col("question")
+    pairs = F.when(F.length(q) > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(q), F.lit(1))), lambda i: F.array(q.substr(i, F.lit(1)), q.substr(i, F.lit(2))))))
+    asked = questions.withColumn("head", F.explode(F.array_distinct(pairs)))
+    listed = terms.filter("term is not null and term <> ''").distinct().withColumn("head", F.substring("term", 1, 2))
+    hits = asked.join(listed, "head").filter(F.contains("question", F.col("term"))).select("question_id", "kind", "term")
     g = hits.groupBy("question_id", "kind").agg(F.collect_set("term").alias("all"))
     longest = F.filter("all", lambda t: ~F.exists("all", lambda o: (o != t) & F.contains(o, t)))
     return g.select("question_id", "kind", F.array_sort(longest).alias("terms"))
