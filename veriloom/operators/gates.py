@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veriloom.functions.ids import stable_id
 from veriloom.functions.text import numbers_in
 
 # Normative terms, strongest first, and words that ask for a number.
@@ -66,3 +67,37 @@ def answers(drafts: DataFrame, gate: DataFrame) -> DataFrame:
     once; the rest is refused with the reason."""
     ok = F.col("allowed")
     return drafts.join(gate, "question_id").select("question_id", F.when(ok, "answered").otherwise("refused").alias("status"), F.when(ok, F.col("answer_text")).alias("answer_text"), F.when(ok, F.array_distinct("cited_ids")).otherwise(F.array().cast("array<string>")).alias("citations"), "reason")
+
+
+def drafts(questions: DataFrame, evidence: DataFrame, model=None, most: int = 3) -> DataFrame:
+    """(question_id, question, answer_text, cited_ids, refusal_reason): a draft per question. By default the excerpts of
+    its first `most` pieces of evidence (question_id, evidence_id, position, excerpt); a model, a callable of (question,
+    list of (id, excerpt)), gives a dict with answer_text, cited_ids and refusal_reason, and anything else refuses."""
+    g = evidence.groupBy("question_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("position", "evidence_id", "excerpt"))), 1, most).alias("e"))
+    x = questions.select("question_id", "question").join(g, "question_id", "left")
+    ids = F.coalesce(F.transform("e", lambda s: s["evidence_id"]), F.array().cast("array<string>"))
+    if model is None:
+        text = F.array_join(F.transform("e", lambda s: s["excerpt"]), "\n")
+        return x.select("question_id", "question", F.coalesce(text, F.lit("")).alias("answer_text"), ids.alias("cited_ids"), F.when(F.col("e").isNull(), "no_evidence").alias("refusal_reason"))
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, q, e in zip(b["question_id"], b["question"], b["e"]):
+                try:
+                    d = model(q, [(s["evidence_id"], s["excerpt"]) for s in (e if e is not None else [])])
+                    out.append((i, q, str(d.get("answer_text") or ""), [str(c) for c in d.get("cited_ids") or []], d.get("refusal_reason")))
+                except Exception as failed:
+                    out.append((i, q, "", [], f"model_failed:{type(failed).__name__}"))
+            yield type(b)(out, columns=["question_id", "question", "answer_text", "cited_ids", "refusal_reason"])
+
+    kind = dict(x.dtypes)["question_id"]
+    return x.mapInPandas(run, f"question_id {kind}, question string, answer_text string, cited_ids array<string>, refusal_reason string")
+
+
+def declined(refused: DataFrame, counts: DataFrame) -> DataFrame:
+    """(answer_id, question_id, status, refusal_reason, n_dense, n_bm25, n_fused, n_reranked, n_facts): the record of each
+    refused answer (question_id, reason) with what retrieval brought; counts without a row are zero."""
+    names = ["n_dense", "n_bm25", "n_fused", "n_reranked", "n_facts"]
+    x = refused.join(counts, "question_id", "left")
+    return x.select(stable_id("answer", F.col("question_id"), F.lit("refused"), F.col("reason")).alias("answer_id"), "question_id", F.lit("refused").alias("status"), F.col("reason").alias("refusal_reason"), *(F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in names))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veriloom.functions.ids import stable_id
+
 # The stages in order, and states that are final.
 STAGES = ["registered", "parsed", "normalized", "chunked", "embedded", "indexed", "validated", "published"]
 FINAL = ["completed", "failed"]
@@ -51,3 +53,26 @@ def latest_stages(records: DataFrame) -> DataFrame:
     """The last record of each (run_id, stage) by seq."""
     rest = [c for c in records.columns if c not in ("run_id", "stage")]
     return records.groupBy("run_id", "stage").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("run_id", "stage", "r.*")
+
+
+def created(requests: DataFrame, existing: DataFrame) -> DataFrame:
+    """(job_id, kb, idempotency_key, reused) of requests (kb, hashes, config): one job per key, whose id follows from
+    knowledge base and key; a job that exists is used again."""
+    x = requests.withColumn("idempotency_key", idempotency_key(F.col("kb"), F.col("hashes"), F.col("config"))).select("kb", "idempotency_key").distinct()
+    x = x.withColumn("job_id", stable_id("job", F.col("kb"), F.col("idempotency_key")))
+    return x.join(existing.select("job_id").distinct().withColumn("reused", F.lit(True)), "job_id", "left").select("job_id", "kb", "idempotency_key", F.coalesce("reused", F.lit(False)).alias("reused"))
+
+
+# The order of the events of a streamed answer.
+EVENT_ORDER = ["status", "delta", "citations", "usage", "completed", "error"]
+
+
+def event_order_problems(events: DataFrame) -> DataFrame:
+    """(answer_id, problem): streamed answers (answer_id, seq, event) whose events go back in order (backwards), that hold
+    an unknown one (unknown), or that don't end, once, in completed or error (not_ended)."""
+    rank = F.nullif(F.array_position(F.array(*map(F.lit, EVENT_ORDER)), F.col("event")), F.lit(0))
+    w = Window.partitionBy("answer_id").orderBy("seq")
+    x = events.withColumns({"_r": rank, "_before": F.lag(rank).over(w)})
+    g = x.groupBy("answer_id").agg(F.bool_or(F.col("_r") < F.col("_before")).alias("back"), F.bool_or(F.col("_r").isNull()).alias("unknown"), F.max_by("event", "seq").alias("last"), F.count_if(F.col("event").isin("completed", "error")).alias("ends"))
+    found = F.array_compact(F.array(F.when(F.col("back"), "backwards"), F.when(F.col("unknown"), "unknown"), F.when(~F.col("last").isin("completed", "error") | (F.col("ends") != 1), "not_ended")))
+    return g.select("answer_id", F.explode(found).alias("problem"))

@@ -219,3 +219,98 @@ def hashed_search(queries: DataFrame, docs: DataFrame, key: str, text: str, k: i
         return p.mapInPandas(counted, f"{own} {dict(df.dtypes)[own]}, _v array<int>")
 
     return _by_blocks(vectors(docs, key, text), vectors(queries, "query_id", "text"), key, k, block, query_block, True)
+
+
+def facet_filter(df: DataFrame, facets: dict[str, list]) -> DataFrame:
+    """The rows that fit every facet with any of its values; a list column fits if it shares a value. An empty facet lets
+    all through. It goes before a search, so that only what may be found is scored."""
+    kinds = dict(df.dtypes)
+    for name, values in facets.items():
+        if values:
+            c = F.col(name)
+            df = df.filter(F.arrays_overlap(c, F.array(*map(F.lit, values))) if kinds[name].startswith("array") else c.isin(*values))
+    return df
+
+
+def by_profile(dense: DataFrame, sparse: DataFrame, key: str, profile: str, most: int = RECALL) -> DataFrame:
+    """(query_id, key, score, rank) of a profile: one channel keeps its own scores and order, both are fused."""
+    if profile == "dense_only":
+        return dense.filter(F.col("rank") <= most).select("query_id", key, "score", "rank")
+    if profile == "bm25_only":
+        return sparse.filter(F.col("rank") <= most).select("query_id", key, "score", "rank")
+    if profile != "dense_bm25":
+        raise ValueError(f"unknown profile {profile}")
+    x = fuse({"dense": dense, "bm25": sparse}, key, most=most)
+    return x.select("query_id", key, F.col("rrf").alias("score"), F.col("fused_rank").alias("rank"))
+
+
+def by_route(plans: DataFrame, document: DataFrame, structured: DataFrame) -> DataFrame:
+    """(query_id, evidence_id, origin, position) by each plan's route: document and structured plans take their own
+    evidence, mixed ones both, structured first; rejected ones and those to be clarified take none. plans: (query_id,
+    route)."""
+    for_documents = document.join(plans.filter("route in ('document', 'mixed')").select("query_id"), "query_id", "left_semi")
+    for_facts = structured.join(plans.filter("route in ('structured', 'mixed')").select("query_id"), "query_id", "left_semi")
+    return merge_evidence(for_facts, for_documents)
+
+
+def smoke(hits: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """(query_id, passed): whether each chunk that was its own query comes back first. hits: (query_id, key, rank)."""
+    first = hits.filter("rank = 1").select("query_id", F.col(key).alias("_found"))
+    return chunks.select(F.col(key).alias("query_id")).distinct().join(first, "query_id", "left").select("query_id", F.coalesce(F.col("query_id") == F.col("_found"), F.lit(False)).alias("passed"))
+
+
+def request_digest(hits: DataFrame, key: str) -> DataFrame:
+    """(query_id, digest): the SHA-256 of what a reranker is asked: the question and, in rank order, ids and text hashes
+    of its candidates (query_id, question, rank, key, text_sha256)."""
+    g = hits.groupBy("query_id", "question").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(key).cast("string").alias("chunk_id"), "text_sha256"))).alias("c"))
+    body = F.to_json(F.struct(F.transform("c", lambda c: F.struct(c["chunk_id"].alias("chunk_id"), c["text_sha256"].alias("text_sha256"))).alias("candidates"), "question"))
+    return g.select("query_id", F.sha2(body, 256).alias("digest"))
+
+
+def citations(evidence: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(evidence_id, source_id, original_file_name, source_format, excerpt): evidence with the name of its source: that of
+    the canonical alias, else of the first; a source without a usable name is called by the kind of the evidence.
+    evidence: (evidence_id, source_id, evidence_type, excerpt); aliases: (source_id, original_file_name, is_canonical)."""
+    named = aliases.groupBy("source_id").agg(F.min_by("original_file_name", F.struct(~F.coalesce(F.col("is_canonical"), F.lit(False)), F.col("original_file_name"))).alias("name"))
+    x = evidence.join(named, "source_id", "left")
+    suffix = F.lower(F.regexp_extract(F.coalesce("name", F.lit("")), r"\.([^.]+)$", 1))
+    good = suffix.isin("doc", "docx", "pdf", "xls", "xlsx")
+    cell = F.col("evidence_type").isin("cell", "calculation")
+    return x.select("evidence_id", "source_id", F.when(good, F.col("name")).when(cell, "确定性事实查询结果.xlsx").otherwise("知识库证据.pdf").alias("original_file_name"), F.when(good, suffix).when(cell, "xlsx").otherwise("pdf").alias("source_format"), F.substring("excerpt", 1, 1200).alias("excerpt"))
+
+
+def embedded(texts: DataFrame, key: str, text: str, model, size: int, batch: int = 10, tries: int = 3, wait: float = 1.0) -> DataFrame:
+    """(key, vector, tokens, attempts, error): texts through a model, a callable of a list of texts that gives (vectors,
+    tokens) in their order; at most `batch` at a time. A failed call is tried again after 1, 2, 4 … times `wait`
+    seconds; a wrong number of vectors or a wrong length counts as failed. What stays failed has a null vector and the
+    error; the rest goes on. tokens are the batch's, shared out evenly. No text is told in errors."""
+    kind = dict(texts.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import time
+
+        for frame in batches:
+            for a in range(0, len(frame), batch):
+                part = frame.iloc[a : a + batch]
+                told, error, tokens_ = None, None, None
+                for n in range(1, tries + 1):
+                    try:
+                        told, tokens_ = model(part["_t"].tolist())
+                        if len(told) != len(part) or any(len(v) != size for v in told):
+                            told = None
+                            raise ValueError("wrong number or length of vectors")
+                        error = None
+                        break
+                    except Exception as e:
+                        told, error = None, f"{type(e).__name__}"
+                        if n < tries:
+                            time.sleep(wait * 2 ** (n - 1))
+                share = None if tokens_ is None or told is None else tokens_ / len(part)
+                yield pd.DataFrame({key: part[key], "vector": [list(map(float, v)) for v in told] if told is not None else [None] * len(part), "tokens": share, "attempts": n, "error": error})
+
+    return texts.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).mapInPandas(run, f"{key} {kind}, vector array<double>, tokens double, attempts int, error string")
+
+
+def embedding_cost(audit: DataFrame, per_million: float) -> DataFrame:
+    """(n, n_failed, tokens, cost): what a run of embedded() took, at a price for a million tokens."""
+    return audit.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("error").isNotNull()).alias("n_failed"), F.sum("tokens").alias("tokens"), (F.sum("tokens") * per_million / 1_000_000).alias("cost"))

@@ -106,3 +106,49 @@ def choice_queries(questions: DataFrame) -> DataFrame:
     expanded = F.transform(parts, lambda p: F.concat(F.col("_stem"), F.lit(" "), F.trim(p)))
     x = questions.withColumn("_stem", stem).withColumn("_q", F.when(F.concat_ws("", letters) == "ABCD", expanded).otherwise(F.array("question")))
     return x.select("question_id", F.posexplode("_q").alias("query_no", "query"))
+
+
+#: What a model may set in a plan.
+PATCH = {"route": ["document", "structured", "mixed", "reject"], "intent": None, "metrics": None, "entities": None, "periods": None, "units": None, "clarify": None}
+
+
+def patched(plans: DataFrame, model) -> DataFrame:
+    """plans with `planner_mode`: those below the sure confidence go through a model, a callable of (question, plan as a
+    dict) that gives a dict; only the fields of PATCH may be in it, of the right types. Anything else, or a failure,
+    leaves the plan as the rules made it and asks for clarification. No model: all plans stay. The model's words are
+    values of fields and never become SQL."""
+    names = ["route", "intent", "metrics", "entities", "periods", "units", "clarify"]
+    if model is None:
+        return plans.withColumn("planner_mode", F.lit("rules"))
+
+    def one(row: dict) -> dict:
+        if row["confidence"] >= SURE:
+            return row | {"planner_mode": "rules"}
+        base = {k: list(v) if hasattr(v, "tolist") or isinstance(v, (list, tuple)) else v for k, v in row.items()}
+        try:
+            patch = model(row["question"], base)
+            ok = isinstance(patch, dict) and set(patch) <= set(names) and patch.get("route", base["route"]) in PATCH["route"] and isinstance(patch.get("intent", ""), str) and isinstance(patch.get("clarify", False), bool) and all(isinstance(patch.get(n, []), list) and all(isinstance(v, str) for v in patch.get(n, [])) for n in ("metrics", "entities", "periods", "units"))
+        except Exception:
+            ok = False
+        return base | patch | {"planner_mode": "rules_with_model"} if ok else base | {"clarify": True, "planner_mode": "model_failed"}
+
+    columns = [*plans.columns, "planner_mode"]
+
+    def run(batches):
+        for b in batches:
+            yield type(b)([one(r) for r in b.to_dict("records")], columns=columns)
+
+    return plans.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in [*plans.dtypes, ("planner_mode", "string")]))
+
+
+def document_facets(plan: dict) -> dict[str, list]:
+    """The filters of a plan that are safe for documents: sources, file names and formats; dictionary hits are not."""
+    return {k: list(plan.get(k) or []) for k in ("source_id", "original_file_name", "source_format")}
+
+
+def scoped(plans: DataFrame, sources: list[str]) -> DataFrame:
+    """plans within stated sources: structured and mixed ones lose their entities, since words of a file's title need not
+    be rows of its tables."""
+    none = F.array().cast("array<string>")
+    kept = F.when(F.col("route").isin("structured", "mixed"), none).otherwise(F.col("entities"))
+    return plans.withColumns({"entities": kept, "sources": F.array_sort(F.array_distinct(F.array(*map(F.lit, sources)).cast("array<string>")))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veriloom import catalog, workbook_queries  # noqa: F401  (each adds its queries to the catalog)
+from veriloom import catalog, corpus_queries, workbook_queries  # noqa: F401  (each adds its queries to the catalog)
 from veriloom.operators import drift, units
 from veriloom.operators import references as refs
 from veriloom.session import table

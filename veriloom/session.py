@@ -8,7 +8,8 @@ import shutil
 import tempfile
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Settings that the operators rely on; sizes are left to the cluster.
 DEFAULTS = {
@@ -89,3 +90,17 @@ def bounded(df: DataFrame, most: int):
     """The rows of df as a list if there are at most `most`, else None. At most `most` + 1 rows are fetched."""
     rows = df.limit(most + 1).collect()
     return rows if len(rows) <= most else None
+
+
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """df with `name`, the place of each row in the order of a column, from 1: ranges are sorted each by itself and
+    counted, so no task holds all rows. Equal values are numbered in any order."""
+    parts = cut(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    counts = {r["_part"]: r["count"] for r in parts.groupBy("_part").count().collect()}  # one row per partition
+    before, offsets = 0, []
+    for part in sorted(counts):
+        offsets.append((part, before))
+        before += counts[part]
+    at = F.create_map(*(F.lit(x) for kv in offsets for x in kv)) if offsets else None
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(order))
+    return parts.withColumn(name, (place + (F.element_at(at, F.col("_part")) if at is not None else F.lit(0))).cast("long")).drop("_part")

@@ -9,6 +9,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veriloom.session import bounded
+
 
 def write_facts(df: DataFrame, path: str) -> None:
     """Facts as zstd parquet, sorted within files for row-group pruning; an existing path is never replaced."""
@@ -56,13 +58,17 @@ def inventory(spark: SparkSession, root: str) -> DataFrame:
 
 
 def report_csv(df: DataFrame, path: str) -> None:
-    """A report as CSV with a header."""
-    df.write.mode("errorifexists").option("header", "true").csv(path)
+    """A report as CSV with a header and, in each file, the byte order mark that spreadsheets look for."""
+    first, rest = df.columns[0], df.columns[1:]
+    marked = df.withColumnRenamed(first, "\ufeff" + first)
+    marked.select("\ufeff" + first, *rest).write.mode("errorifexists").option("header", "true").csv(path)
 
 
 def markdown(df: DataFrame, title: str, most: int = 1000) -> str:
-    """A small result as a Markdown table, at most `most` rows of it."""
-    rows = df.limit(most).collect()
+    """A small result as a Markdown table; more than `most` rows are an error, as none is left out."""
+    rows = bounded(df, most)
+    if rows is None:
+        raise ValueError(f"more than {most} rows: write the result as CSV")
     cell = lambda v: "" if v is None else str(v).replace("|", "\\|").replace("\n", " ")
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
     return "\n".join([*lines, *("| " + " | ".join(cell(v) for v in r) + " |" for r in rows)]) + "\n"
