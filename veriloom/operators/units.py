@@ -282,7 +282,8 @@ def convert(facts: DataFrame, key: str = "fact_id", bounds: Bounds = Bounds(), m
     rows, seen = _parsed(facts)
     model = model or UnitModel(bounds).fit(rows, key, seen)
     plain = rows.filter("_field is not null").withColumns({"_unit": F.lit(None).cast(_UNIT), "_chance": F.lit(None).cast("double")})
-    guessed = model.predict(rows.filter("_field is null"))
+    # Written once: what reads a prediction more than once would run the trees as often.
+    guessed = cut(model.predict(rows.filter("_field is null")))
     both = plain.unionByName(guessed)
     agrees = F.col("_unit") == F.col("_text")
     sure = (F.col("_chance") >= F.lit(bounds.sure)) & F.coalesce(agrees, F.lit(True)) & F.col("_value").isNotNull()
