@@ -135,3 +135,17 @@ def pack(items: DataFrame, key: str, size: str, capacity: int, source: str | Non
 
     packed = loose.groupBy("shard").applyInPandas(run, f"key {kind}, piece_no int, start bigint, n bigint, window_id string, position int")
     return packed.unionByName(whole).unionByName(none).withColumnRenamed("key", key)
+
+
+def report(packed: DataFrame, items: DataFrame, key: str, size: str, capacity: int, source: str, cluster: str) -> DataFrame:
+    """One row about packed items, of distinct keys: n_items, n_windows, n_units, fill, n_over (windows beyond the
+    capacity), n_cut (items in pieces that would have fitted), n_broken (items whose pieces don't add up to their size),
+    n_source_meetings and n_cluster_meetings (windows that hold a source, or a cluster, more than once)."""
+    x = packed.join(items.select(key, F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"), F.col(source).alias("_source"), F.col(cluster).alias("_cluster")), key)
+    whole = x.groupBy(key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("pieces"), F.max("_size").alias("size"))
+    per_item = whole.agg(F.count(F.lit(1)).alias("n_items"), F.sum("n").alias("n_units"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= capacity)).alias("n_cut"), F.count_if(F.col("n") != F.col("size")).alias("n_broken"))
+    meets = lambda c: (F.count(c) > F.count_distinct(c)).cast("int")
+    windows = x.filter("window_id is not null").groupBy("window_id").agg(F.sum("n").alias("n"), meets("_source").alias("s"), meets("_cluster").alias("c"))
+    per_window = windows.agg(F.count(F.lit(1)).alias("n_windows"), F.count_if(F.col("n") > capacity).alias("n_over"), F.sum("s").alias("n_source_meetings"), F.sum("c").alias("n_cluster_meetings"))
+    both = per_item.crossJoin(per_window)  # one row each
+    return both.select("n_items", "n_windows", "n_units", F.round(F.col("n_units") / (F.col("n_windows") * capacity), 6).alias("fill"), "n_over", "n_cut", "n_broken", "n_source_meetings", "n_cluster_meetings")

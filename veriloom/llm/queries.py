@@ -111,9 +111,21 @@ def p7_ids(spark: SparkSession, d: str, tokenizers: str = TOKENIZERS) -> DataFra
 def p8_windows(spark: SparkSession, d: str, tokenizers: str = TOKENIZERS) -> DataFrame:
     """Every document in its context window: (doc_id, piece_no, start, n, window_id, position), in tokens."""
     capacity, _ = _limit(spark, d, "context_window")
+    return pack.pack(_sized(spark, d, tokenizers), "doc_id", "n_tokens", capacity, "source", "copies")
+
+
+def _sized(spark: SparkSession, d: str, tokenizers: str) -> DataFrame:
     docs = table(spark, d, "documents", "doc_id", "text", "source").withColumn("copies", F.xxhash64(F.regexp_replace(F.trim(F.lower("text")), r"\s+", " ")))
-    sized = cut(bpe.sizes(docs, "text", f"{tokenizers}/{BYTE_BPE}"))
-    return pack.pack(sized, "doc_id", "n_tokens", capacity, "source", "copies")
+    return cut(bpe.sizes(docs, "text", f"{tokenizers}/{BYTE_BPE}"))
+
+
+def p8_report(spark: SparkSession, d: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    """What p8_windows comes to, in one row: documents, windows, tokens, fill, windows over the capacity, documents cut that
+    would have fitted, documents whose pieces don't make up their tokens, and windows in which a source, or copies of a
+    text, meet."""
+    capacity, _ = _limit(spark, d, "context_window")
+    sized = _sized(spark, d, tokenizers)
+    return pack.report(pack.pack(sized, "doc_id", "n_tokens", capacity, "source", "copies"), sized, "doc_id", "n_tokens", capacity, "source", "copies")
 
 
 # Problem 9: keyword-stuffed and link-list pages
@@ -129,7 +141,7 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_pieces, p3_found, p3_forms, p7_ids, p8_windows, p9_found, p9_scores)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_pieces, p3_found, p3_forms, p7_ids, p8_windows, p8_report, p9_found, p9_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
