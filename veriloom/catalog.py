@@ -506,9 +506,20 @@ def dim_metric_join(spark, d):
     return n.join(t, "metric_code", "left").select("metric_code", "term_name", "quantity", "n")
 
 
-@query()
+_DATED = "regexp_matches(c, '^[0-9]+_20[0-9]{2}年')"
+_KINDS = " ".join([
+    *(f"when regexp_matches(n, '{p}') then '{k}'" for k, p in tables.MONTHLY),
+    f"when {_DATED} and regexp_matches(c, '监管统计信息发布日程|机构范围|指标解释') then 'regulatory_release_schedule'",
+    *(f"when {_DATED} and contains(c, '{t}') then '{k}'" for k, t in tables.REGULATORY),
+    f"when {_DATED} and regexp_matches(c, '[一二三四1234]季度保险(?:业|公司)资金运用情况表') then 'insurance_funds_investment'",
+    f"when {_DATED} and contains(c, '偿付能力') and regexp_matches(c, '状况表|情况表') then 'insurance_solvency'",
+    "when string_split(n, '_')[1] in (" + ", ".join(f"'{t}'" for t in tables.TEMPLATES) + ") then 'excel_template_library'",
+])
+
+
+@query(f"with x as (select distinct source_id, original_file_name, original_file_name n, regexp_replace(original_file_name, '\\s+', '', 'g') c from source_files) select source_id, original_file_name, case {_KINDS} else 'excel_reference_documents' end dataset from x")
 def classify_workbooks(spark, d):
-    """The dataset each source file holds by its name (rows only: the rules are ordered patterns)."""
+    """The dataset each source file holds by its name."""
     return table(spark, d, "source_files", "source_id", "original_file_name").distinct().withColumn("dataset", tables.workbook_kind(F.col("original_file_name")))
 
 

@@ -49,7 +49,43 @@ _VERSIONS = f"""{_DRIFT_STEPS}, fp as (select fl.feed_id, fl.file_no, fl.source_
 ch as (select *, coalesce(cast(lag(fingerprint) over (partition by feed_id order by file_no) <> fingerprint as integer), 0) c from fp),
 pe as (select feed_id, file_no, min(period_end) period_end, list_sort(coalesce(list(distinct {_UNIFIED}) filter ({_UNIFIED} is not null), [])) delivered_schema_versions, count(*) filter ({_UNIFIED} is null) n_no_schema_version from raw_records group by 1, 2)
 select ch.feed_id, ch.file_no, source_file, period_end, fingerprint, cast(1 + sum(c) over (partition by ch.feed_id order by ch.file_no) as bigint) "version", cast(n_fields as integer) n_fields, delivered_schema_versions, n_no_schema_version from ch join pe on pe.feed_id = ch.feed_id and pe.file_no = ch.file_no"""
+
+
+def _read_sql(of: str, scale: str | None) -> str:
+    """struct(family, power) in SQL of the unit that a text names, as units.read_units reads it."""
+    w = f"lower(trim(translate({of}, '{units._WIDE}', '{units._PLAIN}')))"
+    any_ = units._any
+    look = lambda m, x: "case " + x + "".join(f" when '{k}' then {v}" for k, v in m.items()) + " end"
+    found = lambda p, t=w: f"regexp_extract({t}, '({p})', 1)"
+    code, digits, letter = f"regexp_extract({w}, '^(cny|rmb|items?)_([0-9]+)([kmb]?)$', 1)", f"length(regexp_extract({w}, '_([0-9]+)[kmb]?$', 1))", f"regexp_extract({w}, '_[0-9]+([kmb])$', 1)"
+    ratio, money = found(any_(units.RATIOS)), found(any_(units.MONEY))
+    count = found(any_(units.COUNTS), f"regexp_replace({w}, '{any_(units.MONEY)}', ' ', 'g')")
+    power = found(any_(units.POWERS), f"regexp_replace({w}, '{any_([*units.MONEY, 'items?', 'units?'])}', ' ', 'g')")
+    rest = f"regexp_replace({w}, '{any_([*units.MONEY, *units.COUNTS, *units.POWERS])}', '', 'g')"
+    family = f"case when {code} <> '' then case when {code} like 'item%' then 'count' else 'money' end when {ratio} <> '' then 'ratio' when regexp_matches({rest}, '[\\p{{L}}\\p{{N}}]') then null when {money} <> '' then 'money' when {count} <> '' then 'count' when {power} <> '' then 'money' end"
+    base = f"case when {code} <> '' then {digits} - 1 + case {letter} when 'k' then 3 when 'm' then 6 when 'b' then 9 else 0 end when {ratio} <> '' then {look(units.RATIOS, ratio)} when {power} <> '' then {look(units.POWERS, power)} else 0 end"
+    if scale is None:
+        more = "0"
+    else:
+        s = f"lower(trim(translate({scale}, '{units._WIDE}', '{units._PLAIN}')))"
+        n = f"try_cast(replace({s}, ',', '') as double)"
+        word = found(any_(units.POWERS), s)
+        more = f"case when {scale} is null then 0 when {n} > 0 then case when abs(log10({n}) - round(log10({n}))) < 1e-9 then cast(round(log10({n})) as integer) end when {word} <> '' then {look(units.POWERS, word)} end"
+    return f"struct_pack(family := {family}, power := ({base}) + ({more}))"
+
+
+_NUMBER_SQL = units._NUMBER.replace("'", "''")
+# The words decide here what the ensemble predicts from them with certainty; where it doesn't, the rows differ.
+_COMMON = rf"""with p as (select *, translate(raw_value, '{units._WIDE}', '{units._PLAIN}') plain, translate(normalized_value, '{units._WIDE}', '{units._PLAIN}') np from table_facts),
+n as (select *, regexp_extract(plain, '({_NUMBER_SQL})', 1) num, regexp_extract(np, '({_NUMBER_SQL})', 1) nnum, trim(regexp_replace(regexp_replace(plain, '{_NUMBER_SQL}', ' ', 'g'), '[*#()\s]+', ' ', 'g')) words from p),
+v as (select *, case when num like '(%)' then -abs(try_cast(regexp_replace(num, '[(),+\s]', '', 'g') as double)) else try_cast(regexp_replace(num, '[(),+\s]', '', 'g') as double) end x, case when nnum like '(%)' then -abs(try_cast(regexp_replace(nnum, '[(),+\s]', '', 'g') as double)) else try_cast(regexp_replace(nnum, '[(),+\s]', '', 'g') as double) end y from n),
+u as (select *, {_read_sql('unit', 'scale')} f, {_read_sql('words', None)} t from v),
+w as (select *, case when unit is not null and f.family is not null and f.power is not null then 'field' when coalesce(words, '') <> '' and t.family is not null and x is not null then 'predicted' else 'review' end src from u),
+c as (select *, case src when 'field' then f.family when 'predicted' then t.family end family, case src when 'field' then f.power when 'predicted' then t.power end power from w),
+d as (select *, x * pow(10.0, power + case family when 'money' then -8 else 0 end) common from c)"""
 SQL: dict[str, str] = {
+    "p4_found": f"{_COMMON} select distinct fact_id from d where common is not null and normalized_value is not null and (y is null or abs(y - common) > 0.001 * abs(common))",
+    "p4_common_values": f"{_COMMON} select distinct fact_id, raw_value, unit, scale, family quantity, common_unit, round(common, 8) common_value, src unit_source, (x is not null and src = 'review') needs_review from d left join common_units on quantity = family",
     "p5_found": _DRIFT,
     "p5_migrations": _MIGRATIONS,
     "p5_schema_versions": _VERSIONS,

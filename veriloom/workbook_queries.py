@@ -127,7 +127,7 @@ def _solvency(spark, d):
     k, q = F.col("k"), F.col("q")
     cells = _sheet(
         _at(s, 1, 1, "指标"), _at(s, 1, q + 2, _quarter(q), ["y", "q"]), _at(s, 2, 1, "综合偿付能力充足率"), _at(s, 6, 1, "核心偿付能力充足率"), _at(s, k + 1, 2, _one_of(_SOLVENT, k), ["y", "k"]), _at(s, k + 5, 2, _one_of(_SOLVENT, k), ["y", "k"]),
-        _body(s, k + 1, q + 2), _body(s, k + 5, q + 2, F.lit(16000000).cast("decimal(18,2)")),
+        _body(s, k + 1, q + 2), _body(s, k + 5, q + 2, F.col("v") + (k - 2)),
     )
     return workbooks.solvency(cells, _files(s, "insurance_solvency"))
 
@@ -135,12 +135,12 @@ def _solvency(spark, d):
 _FULL = "full_years as (select y from s group by 1 having count(distinct q) = 4)"
 
 
-@query(f"with {_SUMS}, {_FULL}, x as (select * from s where k <= 4 and y in (select y from full_years)) select {_END} period_end, {_SOLVENT_CODES} entity_code, 'comprehensive_solvency_adequacy_ratio' metric_code, v \"value\", '%' unit, 'INSURANCE_SOLVENCY_V1' schema_version, 'quarter_end' period_basis, {_LETTER.format('q + 1')} || (k + 1) source_cell from x union all select {_END}, {_SOLVENT_CODES}, 'core_solvency_adequacy_ratio', 16000000, '%', 'INSURANCE_SOLVENCY_V1', 'quarter_end', {_LETTER.format('q + 1')} || (k + 5) from x")
+@query(f"with {_SUMS}, {_FULL}, x as (select * from s where k <= 4 and y in (select y from full_years)) select {_END} period_end, {_SOLVENT_CODES} entity_code, 'comprehensive_solvency_adequacy_ratio' metric_code, v \"value\", '%' unit, 'INSURANCE_SOLVENCY_V1' schema_version, 'quarter_end' period_basis, {_LETTER.format('q + 1')} || (k + 1) source_cell from x union all select {_END}, {_SOLVENT_CODES}, 'core_solvency_adequacy_ratio', v + (k - 2), '%', 'INSURANCE_SOLVENCY_V1', 'quarter_end', {_LETTER.format('q + 1')} || (k + 5) from x")
 def tab_solvency(spark, d):
     return _solvency(spark, d).select(*_SHOWN)
 
 
-@query(f"with {_SUMS}, {_FULL} select {_END} period_end, {_SOLVENT_CODES} entity_code, cast(16000000 as decimal(38,6)) small_value, v large_value from s where k <= 4 and y in (select y from full_years) and v < 16000000")
+@query(f"with {_SUMS}, {_FULL} select {_END} period_end, {_SOLVENT_CODES} entity_code, cast(v + (k - 2) as decimal(38,6)) small_value, v large_value from s where k in (3, 4) and y in (select y from full_years)")
 def dq_solvency_order(spark, d):
     x = _solvency(spark, d)
     return quality.part_exceeds(x, ["period_end", "entity_code"], "metric_code", "core_solvency_adequacy_ratio", "comprehensive_solvency_adequacy_ratio", "value")
