@@ -129,8 +129,8 @@ def child_spans(text: str, children: list[tuple[str, str | None]]) -> list[tuple
 
 
 def with_children(parts: DataFrame, parents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Pieces (parent_chunk_id, core_start, end, …) with child_chunk_ids: the children that each piece's core covers, in
-    the parent's order. parents: (parent_chunk_id, display_text, child_chunk_ids), one row per id; chunks: (chunk_id,
+    """Pieces (parent_chunk_id, start, end, …) with child_chunk_ids: the children that each piece covers, its overlap with
+    the piece before included, in the parent's order. parents: (parent_chunk_id, display_text, child_chunk_ids), one row per id; chunks: (chunk_id,
     parent_chunk_id, display_text), repeated rows allowed. A child without a row counts as not found.
     """
     wanted = parents.select("parent_chunk_id", F.posexplode("child_chunk_ids").alias("k", "chunk_id"))
@@ -145,5 +145,5 @@ def with_children(parts: DataFrame, parents: DataFrame, chunks: DataFrame) -> Da
             yield pd.DataFrame({"parent_chunk_id": [p for p, _ in rows], "spans": [[{"id": c, "a": a, "b": e} for c, a, e in s] for _, s in rows]})
 
     spans = spanned.mapInPandas(run, "parent_chunk_id string, spans array<struct<id:string,a:int,b:int>>")
-    covered = F.transform(F.filter("spans", lambda s: (s["a"] < F.col("end")) & ((s["b"] > F.col("core_start")) | ((s["a"] == s["b"]) & (s["a"] >= F.col("core_start"))))), lambda s: s["id"])
+    covered = F.transform(F.filter("spans", lambda s: (s["a"] < F.col("end")) & ((s["b"] > F.col("start")) | ((s["a"] == s["b"]) & (s["a"] >= F.col("start"))))), lambda s: s["id"])
     return parts.join(spans, "parent_chunk_id", "left").withColumn("child_chunk_ids", F.coalesce(covered, F.array().cast("array<string>"))).drop("spans")
