@@ -307,7 +307,7 @@ def dense_topk(spark, d):
     return _dense(spark, d).select("query_id", "vec_id", "score")
 
 
-_PLACE = "cast('0x' || substr(md5(x), 1, 8) as ubigint) % 64"
+_PLACE = "(unicode(substr(x, 1, 1)) * 7919 + case when length(x) > 1 then unicode(substr(x, 2, 1)) else 0 end * 611 + unicode(substr(x, -1, 1)) * 1047 + length(x) * 31) % 64"
 _HASHED = f"""vd as (select doc_id, {_PLACE} p, count(*) n from (select doc_id, unnest(w) x from tk) group by all), vq as (select query_id, {_PLACE} p, count(*) n from (select query_id, unnest(w) x from qt) group by all),
 nd as (select doc_id, sqrt(sum(n * n)) l from vd group by 1), nq as (select query_id, sqrt(sum(n * n)) l from vq group by 1),
 dn as (select * from (select query_id, doc_id, row_number() over (partition by query_id order by score desc, doc_id) "rank" from (select vq.query_id, vd.doc_id, round(sum(vq.n * vd.n) / (any_value(nq.l) * any_value(nd.l)), 6) score from vq join vd using (p) join nq on nq.query_id = vq.query_id join nd on nd.doc_id = vd.doc_id group by 1, 2)) where "rank" <= 40)"""
