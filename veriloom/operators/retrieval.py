@@ -58,7 +58,7 @@ def weighed(counts: DataFrame, length: DataFrame, corpus: DataFrame, key: str, *
     return x.select("term", key, "tf", *more, weight.alias("weight"))
 
 
-def bm25_query(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int = RECALL, vocabulary: int | None = VOCABULARY) -> DataFrame:
+def bm25_query(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int = RECALL, vocabulary: int | None = VOCABULARY, counts: DataFrame | None = None) -> DataFrame:
     """What bm25_search gives over bm25_index, in one plan: postings are cut down to the queries' terms before they are
     weighed, and a document's hits are summed within its own task before they meet those of others.
 
@@ -205,22 +205,22 @@ def hashing_vector(text: Column, size: int = 64) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(places, lambda p: p == i)).cast("float"))
 
 
-def hashed_search(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int = RECALL, size: int = 64, block: int = 4096, query_block: int = 1024) -> DataFrame:
+def hashed_search(queries: DataFrame, docs: DataFrame, key: str, text: str, k: int = RECALL, size: int = 64, block: int = 4096, query_block: int = 1024, counts: DataFrame | None = None) -> DataFrame:
     """(query_id, key, score, rank): the dense channel over texts, by cosine of their hashing_vectors, for queries
     (query_id, text) against all rows.
 
     Blocks of queries meet blocks of rows as matrices, so nothing is gathered in one place, and each pair of blocks
-    passes on the k best per query. A text without words is no hit and has none.
+    passes on the k best per query. A text without words is no hit and has none. counts: the documents' term_counts,
+    where they are at hand.
     """
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.drop(columns="_p").assign(_v=[np.bincount(np.asarray(p, dtype="int64"), minlength=size) for p in b["_p"]])
-
-    def vectors(df: DataFrame, own: str, words: str) -> DataFrame:
-        p = balanced(df.select(own, words)).select(own, F.transform(tokens(F.col(words)), lambda t: hashed_place(t, size)).alias("_p")).filter(F.size("_p") > 0)
-        return p.mapInPandas(counted, f"{own} {dict(df.dtypes)[own]}, _v array<int>")
-
-    return _by_blocks(vectors(docs, key, text), vectors(queries, "query_id", "text"), key, k, block, query_block, True)
+    def vectors(words: DataFrame, own: str) -> DataFrame:
+        per_place = words.groupBy(own, hashed_place(F.col("term"), size).alias("p")).agg(F.sum("tf").alias("n"))
+        filled = F.map_from_entries(F.collect_list(F.struct("p", "n")))
+        m = per_place.groupBy(own).agg(filled.alias("m"))
+        return m.select(own, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0)).cast("double")).alias("_v"))
+
+    held = term_counts(docs, key, text) if counts is None else counts
+    return _by_blocks(vectors(held, key), vectors(term_counts(queries, "query_id", "text"), "query_id"), key, k, block, query_block, True)
 
 
 def facet_filter(df: DataFrame, facets: dict[str, list]) -> DataFrame:

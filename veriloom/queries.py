@@ -88,6 +88,7 @@ SQL: dict[str, str] = {
     "p4_common_values": f"{_COMMON} select distinct fact_id, raw_value, unit, scale, family quantity, common_unit, round(common, 8) common_value, src unit_source, (x is not null and src = 'review') needs_review from d left join common_units on quantity = family",
     "p5_found": _DRIFT,
     "p5_migrations": _MIGRATIONS,
+    "p5_fact_versions": "with x as (" + " union all ".join(f"select '{t}' table_name, source_file, '{c}' field_name, {c} spelled, {_UNIFIED.replace('schema_version', c)} \"version\" from {t}" for t in ("region_premium_facts", "life_insurance_facts") for c in ("schema_version", "scope_version")) + ") select table_name, source_file, field_name, \"version\", count(distinct spelled) n_spellings, count(*) n_rows from x group by 1, 2, 3, 4",
     "p5_schema_versions": _VERSIONS,
     "p6_found": f"{_REFS} select distinct table_name, record_id, field_name, ref_id, reason from x where reason is not null",
     "p6_counts": f"""{_REFS} select table_name, field_name, period, count(*) n_refs, count(*) filter (reason = 'missing') n_missing, count(*) filter (reason = 'deleted') n_deleted, count(*) filter (reason = 'late') n_late,
