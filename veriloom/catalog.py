@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from veriloom.functions import dates, numbers, text
 from veriloom.functions.ids import stable_id
-from veriloom.operators import chunking, dims, evaluation, facts, gates, jobs, quality, retrieval, tables
+from veriloom.operators import channels, chunking, dims, evaluation, facts, gates, jobs, quality, retrieval, tables
 from veriloom.operators.facts import FactQuery
 from veriloom.plans import planner
-from veriloom.session import cut, table
+from veriloom.session import table
 from veriloom.streaming.jobs import windowed_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -317,8 +317,8 @@ dn as (select * from (select query_id, doc_id, row_number() over (partition by q
 def rrf_fuse_documents(spark, d):
     """Words and hashed vectors fused over the whole id space of the documents."""
     docs, queries = _docs(spark, d)
-    counts = cut(retrieval.term_counts(docs, "doc_id", "text"))
-    x = retrieval.fuse({"dense": retrieval.hashed_search(queries, docs, "doc_id", "text", counts=counts), "bm25": retrieval.bm25_query(queries, docs, "doc_id", "text", counts=counts)}, "doc_id")
+    hits = channels.both(queries, docs, "doc_id", "text")
+    x = retrieval.fuse({c: hits.filter(F.col("channel") == c) for c in ("dense", "bm25")}, "doc_id")
     return x.select("query_id", "doc_id", "dense_rank", "bm25_rank", "rrf")
 
 
